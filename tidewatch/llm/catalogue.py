@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
+from tidewatch.llm import mixing
 from tidewatch.llm.common import table
+from tidewatch.llm.html import page_texts
 from tidewatch.llm.language import identify
 
 
@@ -12,10 +14,18 @@ def op1_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_mixing(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE}
