@@ -8,6 +8,8 @@ from tidewatch.llm import mixing
 from tidewatch.llm.common import table
 from tidewatch.llm.html import page_texts
 from tidewatch.llm.language import identify
+from tidewatch.llm.packing import pack_report
+from tidewatch.llm.sstable import sstable_report
 
 
 def op1_language_id(spark, sf_dir):
@@ -22,6 +24,14 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark, sf_dir):
+    return pack_report(table(spark, sf_dir, "documents"))
+
+
+def op9_token_shards(spark, sf_dir):
+    return sstable_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return out
