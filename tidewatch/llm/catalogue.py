@@ -10,6 +10,7 @@ from tidewatch.llm.html import page_texts
 from tidewatch.llm.language import identify
 from tidewatch.llm.packing import pack_report
 from tidewatch.llm.sstable import sstable_report
+from tidewatch.llm.warc import archive_report
 
 
 def op1_language_id(spark, sf_dir):
@@ -24,6 +25,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark, sf_dir):
     return pack_report(table(spark, sf_dir, "documents"))
 
