@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-from tidewatch.llm import mixing
+from tidewatch.llm import mixing, topk
 from tidewatch.llm.common import table
+from tidewatch.llm.forest import nearest
 from tidewatch.llm.html import page_texts
 from tidewatch.llm.language import identify
 from tidewatch.llm.packing import pack_report
@@ -25,6 +26,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark, sf_dir):
+    return topk.exact_top(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark, sf_dir):
     return archive_report(table(spark, sf_dir, "pages"))
 
@@ -37,10 +42,14 @@ def op9_token_shards(spark, sf_dir):
     return sstable_report(table(spark, sf_dir, "documents"))
 
 
+def op10_hash_forest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op4_exact_topk": topk.ORACLE}
