@@ -9,6 +9,7 @@ from tidewatch.llm.common import table
 from tidewatch.llm.forest import nearest
 from tidewatch.llm.html import page_texts
 from tidewatch.llm.language import identify
+from tidewatch.llm.near import near_duplicates
 from tidewatch.llm.packing import pack_report
 from tidewatch.llm.sstable import sstable_report
 from tidewatch.llm.warc import archive_report
@@ -38,6 +39,10 @@ def op6_packing(spark, sf_dir):
     return pack_report(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op9_token_shards(spark, sf_dir):
     return sstable_report(table(spark, sf_dir, "documents"))
 
