@@ -5,11 +5,13 @@ every candidate pair is either checked on the full sets or already connected by
 
 1. each class with the least pivot (smallest member) of its bands;
 2. each class with the other pivots of its bands, unless connected by now;
-3. in bands whose members are still in several components, every pair across components that wasn't checked.
+3. in bands whose members are still in several components, the members outside the largest one against all others.
 
-The first two steps are linear in the classes; copies by the thousand are connected by them. Step 3 has no cap, so no
-link between different texts is lost but by the sketch: with 128 coordinates in bands of four a pair at the threshold
-of 0.8 shares no band once in 2 * 10^7 times.
+The first two steps are linear in the classes; copies by the thousand are connected by them. Step 3 has no cap: blocks
+of some hundred members outside the largest component meet blocks of the band's other members in a task, first by their
+sketches, then, where those are near, by their full sets, and only links are returned. So no link between different
+texts is lost but by the sketch: with 128 coordinates in bands of four a pair at the threshold of 0.8 shares no band
+once in 2 * 10^7 times, and agrees in fewer than 60 % of the coordinates once in 10^7 times.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ PERCENT = 80
 GROUP_BYTES = 1 << 22
 SALT_SHINGLES = 1 << 17
 FILTER_BITS = 1 << 24
+BLOCK = 768
+AGREE = 77  # of SIZE coordinates: pairs that agree in fewer are not near the threshold
 
 
 def batch_sets(b: pa.RecordBatch, k: int, rows: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -44,7 +48,7 @@ def batch_sets(b: pa.RecordBatch, k: int, rows: np.ndarray | None = None) -> Ite
 
 
 class Sketcher:
-    """mapInArrow function: (doc_id, text) to (doc_id, n, set_key, bands)."""
+    """mapInArrow function: (doc_id, text) to (doc_id, n, set_key, bands, sketch), the sketch with a byte a coordinate."""
 
     def __init__(self, k: int):
         self.k = k
@@ -53,10 +57,11 @@ class Sketcher:
         for b in batches:
             for i, sets in batch_sets(b, self.k):
                 n = np.array([len(s) for s in sets], np.int64)
-                bands = band_hashes(fast_sketch(sets, SIZE), BAND)
+                sketch = fast_sketch(sets, SIZE)
+                bands, lean = band_hashes(sketch, BAND), sketch.astype(np.uint8)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel()))
-                yield pa.record_batch([b.column("doc_id").slice(i, len(sets)), pa.array(n), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "set_key", "bands"])
+                yield pa.record_batch([b.column("doc_id").slice(i, len(sets)), pa.array(n), pa.array(keys, pa.binary()), lists, pa.array([x.tobytes() for x in lean], pa.binary())], names=["doc_id", "n", "set_key", "bands", "sketch"])
 
 
 class SetMaker:
@@ -93,39 +98,96 @@ class Verifier:
                 s = np.frombuffer(body[at[i] : at[i + 1]].tobytes(), np.uint64)
                 if member[i] == pivot[i]:
                     pivots.append(s)
-                elif any(self.linked(s, p) for p in pivots):
+                elif any(linked(s, p, self.percent) for p in pivots):
                     src.append(member[i])
                     dst.append(pivot[i])
             yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        if not len(a) or not len(b) or 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)):
-            return False
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-        return 100 * same >= self.percent * (len(a) + len(b) - same)
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as sorted numbers, have a Jaccard similarity of `percent` or more."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+class BlockPairs:
+    """mapInArrow function over rows sorted by (band, s, t, role): a block's outsiders (role 0) are held, its other rows
+    stream past them. Without sets it returns the ids that have a near partner by sketch, with sets the links."""
+
+    def __init__(self, percent: int, with_sets: bool):
+        self.percent, self.with_sets = percent, with_sets
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, done = None, [], set()
+        for b in batches:
+            band, s, t, role, index, rep, n, component = (b.column(c).to_numpy() for c in ("band", "s", "t", "role", "b", "rep", "n", "component"))
+            lean = np.frombuffer(text_bytes(b.column("sketch"))[0], np.uint8).reshape(-1, SIZE)
+            body, at = text_bytes(b.column("shingles")) if self.with_sets else (None, None)
+            src, dst = [], []
+            for i in range(b.num_rows):
+                if (band[i], s[i], t[i]) != group:
+                    group, held, block, done = (band[i], s[i], t[i]), [], None, set()
+                own = np.frombuffer(body[at[i] : at[i + 1]].tobytes(), np.uint64) if self.with_sets else None
+                if role[i] == 0:
+                    held.append((rep[i], n[i], component[i], lean[i], own))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    block = tuple(np.array([h[k] for h in held]) for k in range(4))
+                reps, sizes, components, leans = block
+                near = (components != component[i]) & (100 * np.minimum(sizes, n[i]) >= self.percent * np.maximum(sizes, n[i]))
+                near = np.flatnonzero(near)
+                if not len(near):
+                    continue
+                same = leans[near] == lean[i]
+                first = same.reshape(len(near), SIZE // BAND, BAND).all(axis=2).argmax(axis=1)
+                near = near[(first == index[i]) & (same.sum(axis=1) >= AGREE)]  # each pair in the first band it shares
+                for k in near:
+                    if not self.with_sets:
+                        src.append(reps[k])
+                    elif (pair := (reps[k], component[i])) not in done and linked(held[k][4], own, self.percent):
+                        done.add(pair)
+                        src.append(reps[k])
+                        dst.append(rep[i])
+                if len(near) and not self.with_sets:
+                    src.append(rep[i])
+            if self.with_sets:
+                yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            else:
+                yield pa.record_batch([pa.array(sorted(set(src)), pa.int64())], names=["rep"])
 
 
 def slot_of(column: str):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (member, pivot, n) whose full sets are similar enough, as (src, dst).
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids, and of some others.
 
-    The sets are made anew from the texts of the documents concerned. A filter of FILTER_BITS bits, two megabytes at any
-    input size, lets the texts of most others go by; the join that follows is exact. A pivot with many members is
-    repeated for each salt, so no task gets more than a share of them, and rows stream past: no group is held.
+    The sets are made anew from the texts. A filter of FILTER_BITS bits, two megabytes at any input size, lets the texts
+    of most other documents go by; the join that follows is exact.
     """
     spark = docs.sparkSession
-    ids = pairs.select(F.col("member").alias("id")).union(pairs.select("pivot"))
     words = ids.select(slot_of("id").alias("slot")).groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    sets = docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("slot", slot_of("doc_id")).mapInArrow(SetMaker(k, shared), "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("slot", slot_of("doc_id")).mapInArrow(SetMaker(k, shared), "doc_id long, shingles binary")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (member, pivot, n) whose full sets are similar enough, as (src, dst).
+
+    A pivot with many members is repeated for each salt, so no task gets more than a share of them, and rows stream
+    past: no group is held.
+    """
+    sets = sets_of(docs, pairs.select(F.col("member").alias("id")).union(pairs.select("pivot")), k)
     salts = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / SALT_SHINGLES).cast("int").alias("salts"))
     members = pairs.join(salts, "pivot").select("member", "pivot", F.pmod(F.xxhash64("member"), F.greatest("salts", F.lit(1))).cast("int").alias("salt"))
     own = salts.select(F.col("pivot").alias("member"), "pivot", F.explode(F.sequence(F.lit(0), F.greatest("salts", F.lit(1)) - 1)).alias("salt"))
@@ -144,6 +206,27 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFr
     return rows.join(named, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__component", node)).drop("__node", "__component")
 
 
+def across(docs: DataFrame, inside: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components of a band's members: (src, dst), one for each outsider and component at least.
+
+    A band of m members of which l are outside its largest component becomes m / BLOCK by l / BLOCK blocks, each a task's
+    worth of rows however large the band is.
+    """
+    sizes = inside.groupBy("band", "component").count()
+    blocks = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("m"))
+    blocks = blocks.select("band", F.col("main.component").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ms"), F.ceil((F.col("m") - F.col("main.count")) / BLOCK).cast("int").alias("ls"))
+    rows = inside.join(blocks, "band").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("ms")).cast("int")).withColumn("t", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ls")).cast("int"))
+    kept = ["band", "b", "rep", "n", "component"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rows.where("component <> main").select(*kept, each("ms").alias("s"), "t", F.lit(0).alias("role"))
+    placed = outside.union(rows.select(*kept, "s", each("ls").alias("t"), F.lit(1).alias("role")))
+    lean = placed.join(classes.select("rep", "sketch"), "rep")
+    deal = lambda df: df.repartition("band", "s", "t").sortWithinPartitions("band", "s", "t", "role")
+    active = stage(deal(lean).mapInArrow(BlockPairs(percent, False), "rep long").distinct(), "active")
+    full = lean.join(active, "rep", "left_semi").join(sets_of(docs, active.select(F.col("rep").alias("id")), k), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return deal(full).mapInArrow(BlockPairs(percent, True), "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id long, text).
 
@@ -154,12 +237,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     An empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    rows = stage(docs.mapInArrow(Sketcher(k), "doc_id long, n long, set_key binary, bands array<long>"), "sketches")
-    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    rows = stage(docs.mapInArrow(Sketcher(k), "doc_id long, n long, set_key binary, bands array<long>, sketch binary"), "sketches")
+    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min(F.struct("bands", "sketch")).alias("s")).select("set_key", "rep", "n", "s.bands", "s.sketch")
     classes = stage(classes.where("rep IS NOT NULL"), "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    banded = classes.select("rep", "n", F.posexplode("bands").alias("b", "band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("band", "pivot")
-    members = stage(banded.join(shared, "band").select("band", "rep", "n", "pivot"), "members")
+    members = stage(banded.join(shared, "band").select("band", "b", "rep", "n", "pivot"), "members")
 
     pairs = members.where("rep <> pivot").select(F.col("rep").alias("member"), "pivot", "n").distinct()
     first = stage(pairs.groupBy("member").agg(F.min("pivot").alias("pivot"), F.max("n").alias("n")), "pairs")
@@ -168,24 +251,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 
     open_ = labelled(labelled(pairs, labels, "member", "a"), labels, "pivot", "b").where("a <> b").select("member", "pivot", "n")
     second = stage(open_.join(first, ["member", "pivot"], "left_anti"), "pairs")
-    checked = first.select("member", "pivot").union(second.select("member", "pivot"))
     if not second.isEmpty():
         edges = stage(edges.union(verify(docs, second, k, percent)), "edges")
         labels = labels_of(edges)
 
     placed = labelled(members, labels, "rep", "component")
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    inside = stage(placed.join(mixed, "band", "left_semi").select("band", "rep", "n", "component"), "members")
+    inside = stage(placed.join(mixed, "band", "left_semi").select("band", "b", "rep", "n", "component"), "members")
     if not inside.isEmpty():
-        sizes = inside.groupBy("band", "component").count()
-        largest = sizes.groupBy("band").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-        minor = inside.join(largest, "band").where("component <> main").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        across = minor.join(inside, "band").where(f"cx <> component AND 100 * least(nx, n) >= {percent} * greatest(nx, n)")
-        third = across.select(F.greatest("x", "rep").alias("member"), F.least("x", "rep").alias("pivot"), F.greatest("nx", "n").alias("n")).distinct()
-        third = stage(third.join(checked, ["member", "pivot"], "left_anti"), "pairs")
-        if not third.isEmpty():
-            edges = stage(edges.union(verify(docs, third, k, percent)), "edges")
-            labels = labels_of(edges)
+        edges = stage(edges.union(across(docs, inside, classes, k, percent)), "edges")
+        labels = labels_of(edges)
 
     found = labelled(classes.select("set_key", "rep"), labels, "rep", "component").select("set_key", "component")
     out = rows.join(found, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
