@@ -9,6 +9,7 @@ from tidewatch.llm.common import table
 from tidewatch.llm.forest import nearest
 from tidewatch.llm.html import page_texts
 from tidewatch.llm.language import identify
+from tidewatch.llm.lines import line_report
 from tidewatch.llm.near import near_duplicates
 from tidewatch.llm.packing import pack_report
 from tidewatch.llm.sstable import sstable_report
@@ -43,6 +44,10 @@ def op7_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark, sf_dir):
     return sstable_report(table(spark, sf_dir, "documents"))
 
@@ -52,8 +57,8 @@ def op10_hash_forest(spark, sf_dir):
 
 
 def queries() -> dict:
-    out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
-    return out
+    pipeline = importlib.import_module("corpus_pipeline")
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
