@@ -61,13 +61,34 @@ def passing(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return hit.drop("__slot", "__word", "__bits")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+WORDS = [f"w{k}" for k in range(16)]
+
+
+def summaries(texts: DataFrame) -> DataFrame:
+    """texts (lid, line) with n, the number of different shingles, and a map of 1024 bits with one for each."""
+    shingles = texts.select("lid", F.explode(F.array_distinct(hashes(F.col("line")))).alias("h"))
+    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & 15 = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(w) for k, w in enumerate(WORDS)]
+    return shingles.groupBy("lid").agg(F.count("*").alias("n"), *words)
+
+
+def hashes(line):
+    return F.transform(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), lambda x: F.xxhash64(x))
+
+
+def possible(x: str, y: str, percent: int) -> str:
+    """A condition that no similar pair fails: a bit that only one side has stands for a shingle that only it has, so the
+    bits bound the similarity from above."""
+    lacking = lambda a, b: " + ".join(f"bit_count({a}.{w} & ~{b}.{w})" for w in WORDS)
+    bound = lambda a, b: f"100L * ({a}.n - ({lacking(a, b)})) >= {percent}L * ({b}.n + ({lacking(a, b)}))"
+    return f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) AND {bound(x, y)} AND {bound(y, x)}"
+
+
+def verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets are similar enough, as (src, dst)."""
-    x, y = (texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    near = F.expr(f"100L * least(char_length(line_a), char_length(line_b)) >= {percent // 2}L * greatest(char_length(line_a), char_length(line_b))")
-    both = pairs.join(x, "a").join(y, "b").where(near)
-    sets = both.select("a", "b", *[F.array_distinct(F.regexp_extract_all(F.col(f"line_{c}"), F.lit(EVERY), F.lit(1))).alias(f"s{c}") for c in "ab"])
-    same = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("same"))
+    x, y = maps.alias("x"), maps.alias("y")
+    likely = pairs.alias("p").join(x, F.expr("p.a = x.lid")).join(y, F.expr("p.b = y.lid")).where(possible("x", "y", percent)).select("a", "b", F.expr("x.n + y.n").alias("total"))
+    line = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}"))
+    same = likely.join(line("a"), "a").join(line("b"), "b").select("a", "b", "total", F.size(F.array_intersect(hashes(F.col("line_a")), hashes(F.col("line_b")))).alias("same"))
     return same.where(f"100L * same >= {percent}L * (total - same)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -80,13 +101,15 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
     """(node, component) of the different lines that are similar to others.
 
     Each line is verified against the least line of each of its bands, then, in bands that aren't one component yet,
-    against the greatest, and at last every pair there that is still in different components.
+    against the greatest, and at last every pair there that is still in different components and that the bit maps
+    leave possible; the maps are part of the join's condition, so other pairs never become rows.
     """
     banded = lines.select("lid", F.explode("bands").alias("band"))
     shared = stage(banded.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high"), "bands")
     members = stage(passing(banded, "band", shared.select("band")).join(shared, "band"), "members")
     wanted = members.select("lid").distinct()
     texts = stage(passing(line_rows(docs).select("lid", "line"), "lid", wanted).groupBy("lid").agg(F.min("line").alias("line")), "texts")
+    maps = stage(summaries(texts), "maps")
     done = edges = labels = None
     for step in ("low", "high", "rest"):
         if step == "low":
@@ -98,13 +121,14 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
             if step == "high":
                 ends = placed(inside.select("band", F.col("lid").alias("a"), "component", F.col("high").alias("b")), labels, "b", "other")
             else:
-                other = inside.select("band", F.col("lid").alias("b"), F.col("component").alias("other"))
-                ends = inside.select("band", F.col("lid").alias("a"), "component").join(other, "band").where("a > b")
+                full = inside.select("band", "lid", "component").join(maps, "lid")
+                either = full.alias("x").join(full.alias("y"), F.expr(f"x.band = y.band AND x.lid > y.lid AND x.component <> y.component AND {possible('x', 'y', percent)}"))
+                ends = either.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
             pairs = ends.where("component <> other").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if done is not None and pairs.isEmpty():
             break
-        fresh = verified(pairs, texts, percent)
+        fresh = verified(pairs, texts, maps, percent)
         edges = stage(fresh if edges is None else edges.union(fresh), "edges")
         done = pairs if done is None else done.union(pairs)
         labels = stage(connected_components(edges), "labels")
