@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.components import connected_components
+from tidewatch.storage import stage
 
 HOPS = 6
 
@@ -52,15 +53,15 @@ def best_paths(placed: DataFrame, links: DataFrame, hops: int = HOPS) -> DataFra
 def resolve(assertions: DataFrame, links: DataFrame, merge: str = "last") -> DataFrame:
     """principal_id, type, value, confidence, sources of every asserted atom. A link to an atom that isn't asserted, or a
     confidence outside 0 to 1, is an error."""
-    atoms, pairs = nodes(assertions), edges(links, merge)
+    atoms, pairs = stage(nodes(assertions), "atoms"), stage(edges(links, merge), "links")
     ends = pairs.select(F.col("a").alias("atom")).union(pairs.select("b"))
     if not ends.join(atoms, "atom", "left_anti").isEmpty():
         raise ValueError("a link names an atom that no assertion has")
     if not atoms.select("confidence").union(pairs.select("confidence")).where("NOT confidence BETWEEN 0 AND 1").isEmpty():
         raise ValueError("confidences are from 0 to 1")
-    placed = atoms.join(components(atoms, pairs), "atom")
+    placed = stage(atoms.join(components(atoms, pairs), "atom"), "placed")
     anchors = placed.groupBy("component").agg(F.max(F.struct("confidence", "type", "value", "atom"))["atom"].alias("anchor"), principal_id().alias("principal_id"))
-    anchored = placed.join(anchors, "component")
+    anchored = stage(placed.join(anchors, "component"), "anchored")
     scored = anchored.join(best_paths(anchored, pairs), "atom", "left")
     return scored.select("principal_id", "type", "value", (F.col("confidence") * F.coalesce("path", F.lit(0.0))).alias("confidence"), "sources")
 
