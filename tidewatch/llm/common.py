@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from pathlib import Path
 
@@ -53,3 +54,12 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = lengths.astype(np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()), dtype=np.int64)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

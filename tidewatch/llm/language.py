@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import row_groups, spans, text_bytes
+from tidewatch.llm.common import give_back, row_groups, spans, text_bytes
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -185,6 +185,7 @@ class Predictor:
                     p = self.score(body[at[i] : at[j]], at[i : j + 1] - at[i])[rows - i]
                     pred[rows], score[rows] = np.array(self.net.langs, object)[p.argmax(axis=1)], p.max(axis=1)
             yield pa.record_batch([*(b.column(c) for c in self.keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*self.keep, "lang_pred", "score"])
+        give_back()
 
 
 def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:

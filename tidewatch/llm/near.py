@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import row_groups, text_bytes
+from tidewatch.llm.common import give_back, row_groups, text_bytes
 from tidewatch.llm.words import band_hashes, fast_sketch, shingle_sets, word_hashes
 from tidewatch.operators.components import connected_components
 from tidewatch.storage import stage
@@ -62,6 +62,7 @@ class Sketcher:
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel()))
                 yield pa.record_batch([b.column("doc_id").slice(i, len(sets)), pa.array(n), pa.array(keys, pa.binary()), lists, pa.array([x.tobytes() for x in lean], pa.binary())], names=["doc_id", "n", "set_key", "bands", "sketch"])
+        give_back()
 
 
 class SetMaker:
@@ -78,6 +79,7 @@ class SetMaker:
             ids = b.column("doc_id").take(pa.array(rows))
             for i, sets in batch_sets(b, self.k, rows):
                 yield pa.record_batch([ids.slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+        give_back()
 
 
 class Verifier:

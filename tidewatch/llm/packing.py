@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import give_back
 from tidewatch.llm.tokens import END_ID, documents_ids, encoder, tokenizer_file
 
 MAX_LENGTH = 4096
@@ -51,6 +52,7 @@ class Packer:
                     rows, held = [], 0
         if rows:
             yield self.table(rows)
+        give_back()
 
     @staticmethod
     def table(rows: list) -> pa.RecordBatch:

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import give_back
 from tidewatch.llm.files import create, open_random
 from tidewatch.llm.tokens import END_ID, documents_ids, encoder, tokenizer_file
 from tidewatch.storage import new_path, stage
@@ -194,6 +195,7 @@ class ShardWriter:
         if writer:
             writer.close()
             yield pa.record_batch([pa.array([x]) for x in (shard, path, writer.docs, writer.tokens)], names=["shard", "path", "docs", "tokens"])
+        give_back()
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:

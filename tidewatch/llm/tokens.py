@@ -20,8 +20,8 @@ import pyarrow as pa
 from tidewatch.llm.common import row_groups, spans, text_bytes
 
 END_ID = 2
-PIECE_BYTES = 1 << 23
-CACHE_WORDS = 600_000
+PIECE_BYTES = 1 << 22
+CACHE_WORDS = 300_000
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
