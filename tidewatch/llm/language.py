@@ -150,7 +150,11 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, seed: int = 7) -> ByteNet
     if not got:
         return None
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in got), np.uint8).reshape(-1, LENGTH)
-    return train(windows, np.array([langs.index(r["lang"]) for r in got]), langs, seed=seed)
+    labels = np.array([langs.index(r["lang"]) for r in got])
+    del got
+    net = train(windows, labels, langs, seed=seed)
+    give_back()
+    return net
 
 
 class Predictor:

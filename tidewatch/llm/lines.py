@@ -61,13 +61,13 @@ def passing(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return hit.drop("__slot", "__word", "__bits")
 
 
-WORDS = [f"w{k}" for k in range(64)]
+WORDS = [f"w{k}" for k in range(32)]
 
 
 def summaries(texts: DataFrame) -> DataFrame:
-    """texts (lid, line) with n, the number of different shingles, and a map of 4096 bits with one for each."""
+    """texts (lid, line) with n, the number of different shingles, and a map of 2048 bits with one for each."""
     shingles = texts.select("lid", F.explode(F.array_distinct(hashes(F.col("line")))).alias("h"))
-    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & 63 = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(w) for k, w in enumerate(WORDS)]
+    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & 31 = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(w) for k, w in enumerate(WORDS)]
     return shingles.groupBy("lid").agg(F.count("*").alias("n"), *words)
 
 
@@ -78,12 +78,9 @@ def hashes(line):
 def possible(x: str, y: str, percent: int) -> str:
     """A condition that no similar pair fails: a bit that only one side has stands for a shingle that only it has, so the
     bits bound the similarity from above."""
-    lacking = lambda a, b, some: " + ".join(f"bit_count({a}.{w} & ~{b}.{w})" for w in some)
-    bound = lambda a, b, some: f"100L * ({a}.n - ({lacking(a, b, some)})) >= {percent}L * ({b}.n + ({lacking(a, b, some)}))"
-    tests = [f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n)"]
-    for some in (WORDS[:12], WORDS):  # a part of the bits rules out most
-        tests += [bound(x, y, some), bound(y, x, some)]
-    return " AND ".join(f"({t})" for t in tests)
+    lacking = lambda a, b: " + ".join(f"bit_count({a}.{w} & ~{b}.{w})" for w in WORDS)
+    bound = lambda a, b: f"100L * ({a}.n - ({lacking(a, b)})) >= {percent}L * ({b}.n + ({lacking(a, b)}))"
+    return f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) AND {bound(x, y)} AND {bound(y, x)}"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
