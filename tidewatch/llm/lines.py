@@ -104,7 +104,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
     against the greatest, and at last every pair there that is still in different components and that the bit maps
     leave possible; the maps are part of the join's condition, so other pairs never become rows.
     """
-    banded = lines.select("lid", F.explode("bands").alias("band"))
+    banded = lines.select("lid", "bands", F.posexplode("bands").alias("b", "band"))
     shared = stage(banded.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high"), "bands")
     members = stage(passing(banded, "band", shared.select("band")).join(shared, "band"), "members")
     wanted = members.select("lid").distinct()
@@ -121,8 +121,9 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
             if step == "high":
                 ends = placed(inside.select("band", F.col("lid").alias("a"), "component", F.col("high").alias("b")), labels, "b", "other")
             else:
-                full = inside.select("band", "lid", "component").join(maps, "lid")
-                either = full.alias("x").join(full.alias("y"), F.expr(f"x.band = y.band AND x.lid > y.lid AND x.component <> y.component AND {possible('x', 'y', percent)}"))
+                full = inside.select("band", "b", "bands", "lid", "component").join(maps, "lid")
+                first = " AND ".join(f"NOT (x.b > {j} AND get(x.bands, {j}) = get(y.bands, {j}))" for j in range(BANDS - 1))  # each pair in the first band it shares
+                either = full.alias("x").join(full.alias("y"), F.expr(f"x.band = y.band AND x.lid > y.lid AND x.component <> y.component AND {first} AND {possible('x', 'y', percent)}"))
                 ends = either.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
             pairs = ends.where("component <> other").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
