@@ -122,7 +122,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
                 ends = placed(inside.select("band", F.col("lid").alias("a"), "component", F.col("high").alias("b")), labels, "b", "other")
             else:
                 full = inside.select("band", "b", "bands", "lid", "component").join(maps, "lid")
-                first = " AND ".join(f"NOT (x.b > {j} AND get(x.bands, {j}) = get(y.bands, {j}))" for j in range(BANDS - 1))  # each pair in the first band it shares
+                first = "NOT arrays_overlap(slice(x.bands, 1, x.b), slice(y.bands, 1, y.b))"  # each pair in the first band it shares
                 either = full.alias("x").join(full.alias("y"), F.expr(f"x.band = y.band AND x.lid > y.lid AND x.component <> y.component AND {first} AND {possible('x', 'y', percent)}"))
                 ends = either.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
             pairs = ends.where("component <> other").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
