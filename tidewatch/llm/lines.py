@@ -21,8 +21,7 @@ SHINGLE = 5  # characters of a shingle in the exact comparison
 ANCHORED = 12  # characters of a shingle in the signature
 BANDS, ROWS = 10, 3
 PERCENT = 80
-ANCHOR = rf"(?s)(?:^|[ ,.;:/_=|\-฀-๿　-￿])(?=(.{{1,{ANCHORED}}}))"
-EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
+ANCHOR = rf"(?s)[ ,.;:/_=|\-฀-๿　-￿](?=(.{{1,{ANCHORED}}}))"
 FILTER_BITS = 1 << 24
 
 
@@ -44,7 +43,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame) -> DataFrame:
     """lid, first (doc_id, no), copies and bands of each different line: one shuffle of lines, then narrow steps."""
     lines = line_rows(docs).groupBy("lid").agg(F.min(F.struct("doc_id", "no", "line")).alias("first"), F.count("*").alias("copies"))
-    shingles = lines.select("lid", F.col("first.doc_id").alias("at"), F.col("first.no").alias("no"), "copies", F.explode(F.regexp_extract_all(F.col("first.line"), F.lit(ANCHOR), F.lit(1))).alias("s"))
+    shingles = lines.select("lid", F.col("first.doc_id").alias("at"), F.col("first.no").alias("no"), "copies", F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "first.line"), F.lit(ANCHOR), F.lit(1))).alias("s"))
     hashed = shingles.select("lid", "at", "no", "copies", F.xxhash64("s").alias("h"))
     mins = [F.min(F.col("h").bitwiseXOR(F.lit(c).cast("long"))).alias(f"m{i}") for i, c in enumerate(constants())]
     bands = F.array(*[F.xxhash64(*[F.col(f"m{b * ROWS + r}") for r in range(ROWS)], F.lit(b)) for b in range(BANDS)])
@@ -65,22 +64,30 @@ WORDS = [f"w{k}" for k in range(32)]
 
 
 def summaries(texts: DataFrame) -> DataFrame:
-    """texts (lid, line) with n, the number of different shingles, and a map of 2048 bits with one for each."""
+    """texts (lid, line) with n, the number of different shingles, a map of 2048 bits with one for each, and spare, by
+    how many n exceeds the bits that are set."""
     shingles = texts.select("lid", F.explode(F.array_distinct(hashes(F.col("line")))).alias("h"))
     words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & 31 = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(w) for k, w in enumerate(WORDS)]
-    return shingles.groupBy("lid").agg(F.count("*").alias("n"), *words)
+    maps = shingles.groupBy("lid").agg(F.count("*").alias("n"), *words)
+    return maps.withColumn("spare", F.expr("n - (" + " + ".join(f"bit_count({w})" for w in WORDS) + ")"))
 
 
 def hashes(line):
-    return F.transform(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), lambda x: F.xxhash64(x))
+    """A hash of each run of SHINGLE characters: slices of the text in UTF-32, where a character has its place."""
+    start = lambda wide: F.sequence(F.lit(1), F.octet_length(wide) - 4 * SHINGLE + 1, F.lit(4))
+    once = F.array(F.encode(line, "UTF-32"))  # an array of one, for its element is then computed once
+    return F.transform(once, lambda wide: F.transform(start(wide), lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * SHINGLE)))))[0]
 
 
 def possible(x: str, y: str, percent: int) -> str:
     """A condition that no similar pair fails: a bit that only one side has stands for a shingle that only it has, so the
-    bits bound the similarity from above."""
-    lacking = lambda a, b: " + ".join(f"bit_count({a}.{w} & ~{b}.{w})" for w in WORDS)
-    bound = lambda a, b: f"100L * ({a}.n - ({lacking(a, b)})) >= {percent}L * ({b}.n + ({lacking(a, b)}))"
-    return f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) AND {bound(x, y)} AND {bound(y, x)}"
+    bits that both have, and the lesser spare, bound the shared shingles from above. The bits that only x has in a
+    quarter of the map are a first, cheaper bound of the same kind."""
+    lacking = " + ".join(f"bit_count({x}.{w} & ~{y}.{w})" for w in WORDS[::4])
+    both = " + ".join(f"bit_count({x}.{w} & {y}.{w})" for w in WORDS)
+    sizes = f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n)"
+    quarter = f"{100 + percent}L * ({lacking}) <= 100L * {x}.n - {percent}L * {y}.n"
+    return f"{sizes} AND {quarter} AND {100 + percent}L * (least({x}.spare, {y}.spare) + {both}) >= {percent}L * ({x}.n + {y}.n)"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -123,7 +130,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
             else:
                 full = inside.select("band", "b", "bands", "lid", "component").join(maps, "lid")
                 first = "NOT arrays_overlap(slice(x.bands, 1, x.b), slice(y.bands, 1, y.b))"  # each pair in the first band it shares
-                either = full.alias("x").join(full.alias("y"), F.expr(f"x.band = y.band AND x.lid > y.lid AND x.component <> y.component AND {first} AND {possible('x', 'y', percent)}"))
+                either = full.alias("x").join(full.alias("y"), F.expr(f"x.band = y.band AND x.lid > y.lid AND x.component <> y.component AND {possible('x', 'y', percent)} AND {first}"))
                 ends = either.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
             pairs = ends.where("component <> other").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
