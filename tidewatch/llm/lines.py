@@ -60,16 +60,16 @@ def passing(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return hit.drop("__slot", "__word", "__bits")
 
 
-WORDS = [f"w{k}" for k in range(32)]
+WORDS = 32  # of 64 bits, in a line's map
 
 
 def summaries(texts: DataFrame) -> DataFrame:
-    """texts (lid, line) with n, the number of different shingles, a map of 2048 bits with one for each, and spare, by
+    """texts (lid, line) with n, the number of different shingles, a map (bits) with a bit for each, and spare, by
     how many n exceeds the bits that are set."""
     shingles = texts.select("lid", F.explode(F.array_distinct(hashes(F.col("line")))).alias("h"))
-    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & 31 = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(w) for k, w in enumerate(WORDS)]
-    maps = shingles.groupBy("lid").agg(F.count("*").alias("n"), *words)
-    return maps.withColumn("spare", F.expr("n - (" + " + ".join(f"bit_count({w})" for w in WORDS) + ")"))
+    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & {WORDS - 1} = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(f"w{k}") for k in range(WORDS)]
+    maps = shingles.groupBy("lid").agg(F.count("*").alias("n"), *words).select("lid", "n", F.array(*[f"w{k}" for k in range(WORDS)]).alias("bits"))
+    return maps.withColumn("spare", F.expr("n - aggregate(bits, 0L, (s, w) -> s + bit_count(w))"))
 
 
 def hashes(line):
@@ -81,13 +81,11 @@ def hashes(line):
 
 def possible(x: str, y: str, percent: int) -> str:
     """A condition that no similar pair fails: a bit that only one side has stands for a shingle that only it has, so the
-    bits that both have, and the lesser spare, bound the shared shingles from above. The bits that only x has in a
-    quarter of the map are a first, cheaper bound of the same kind."""
-    lacking = " + ".join(f"bit_count({x}.{w} & ~{y}.{w})" for w in WORDS[::4])
-    both = " + ".join(f"bit_count({x}.{w} & {y}.{w})" for w in WORDS)
+    bits that both have, and the lesser spare, bound the shared shingles from above. It is written over arrays, for one
+    term a word makes a method too long for the JVM to compile."""
+    both = f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> p & q), 0L, (s, w) -> s + bit_count(w))"
     sizes = f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n)"
-    quarter = f"{100 + percent}L * ({lacking}) <= 100L * {x}.n - {percent}L * {y}.n"
-    return f"{sizes} AND {quarter} AND {100 + percent}L * (least({x}.spare, {y}.spare) + {both}) >= {percent}L * ({x}.n + {y}.n)"
+    return f"{sizes} AND {100 + percent}L * (least({x}.spare, {y}.spare) + {both}) >= {percent}L * ({x}.n + {y}.n)"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
