@@ -1,6 +1,6 @@
 import random
 
-from tidewatch.llm.lines import MIN_CHARS, dedup_lines, line_report
+from tidewatch.llm.lines import MIN_CHARS, dedup_lines, line_report, signatures
 
 
 def grams(line):
@@ -72,3 +72,31 @@ def test_equals_brute_force(spark):
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a line that is long enough to take part\nshort")] * 2, "doc_id long, text string")
     assert "Python" not in line_report(df)._jdf.queryExecution().toString()
+
+
+def altered(rng, line, low, high):
+    """A copy with characters replaced one by one until the similarity is in low..high."""
+    while True:
+        out = line
+        for _ in range(len(line)):
+            at = rng.randrange(len(line))
+            out = out[:at] + rng.choice("ghijklmnop") + out[at + 1 :]
+            j = len(grams(line) & grams(out)) / len(grams(line) | grams(out))
+            if j < high:
+                break
+        if low <= j < high:
+            return out
+
+
+def share_meeting(spark, pairs):
+    """The share of the pairs that meet in a band."""
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sum(map(list, pairs), []))], "doc_id long, text string")
+    found = {r["first"]["doc_id"]: set(r["bands"]) for r in signatures(df).collect()}
+    return sum(bool(found[2 * i] & found[2 * i + 1]) for i in range(len(pairs))) / len(pairs)
+
+
+def test_pairs_near_the_threshold_meet(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    pairs = [(x, altered(rng, x, 0.8, 0.85)) for n in (9, 16, 33) for x in (say(n) for _ in range(400))]
+    assert share_meeting(spark, pairs) >= 0.995

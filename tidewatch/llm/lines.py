@@ -1,11 +1,11 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
 Lines are the parts of a text between line feeds; those of MIN_CHARS characters or more take part. Equal lines are one
-by a 64-bit hash. A line's signature comes from the character shingles that start after a blank or a mark (a sixth of
-all, chosen by content, so edits move few): coordinate k is the shingle hash nearest to a random number by exclusive
-or, which is as likely to be shared as the sets are similar. Lines that share a band are candidates; pairs are verified
-by the exact Jaccard similarity of all their character shingles, components come from distributed rounds of star
-contraction, and the first line of each component stays.
+by a 64-bit hash. A line's signature comes from all its character shingles, the same that are compared later:
+coordinate k is the shingle hash nearest to a random number by exclusive or, which is as likely to be shared as the sets
+are similar. Bands share coordinates, two of them one at most. Lines that share a band are candidates; pairs are
+verified by the exact Jaccard similarity of all their character shingles, components come from distributed rounds of
+star contraction, and the first line of each component stays.
 """
 
 from __future__ import annotations
@@ -17,18 +17,17 @@ from tidewatch.operators.components import connected_components
 from tidewatch.storage import stage
 
 MIN_CHARS = 32
-SHINGLE = 5  # characters of a shingle in the exact comparison
-ANCHORED = 12  # characters of a shingle in the signature
-BANDS, ROWS = 10, 3
+SHINGLE = 5  # characters of a shingle
+COORDINATES, BANDS = 84, 28
+RULER = (0, 1, 4, 10, 12, 17)  # a band's coordinates from its first on; no difference occurs twice
 PERCENT = 80
-ANCHOR = rf"(?s)[ ,.;:/_=|\-฀-๿　-￿](?=(.{{1,{ANCHORED}}}))"
 FILTER_BITS = 1 << 24
 
 
 def constants() -> list[int]:
     """One 64-bit number for each coordinate, by a multiplicative generator."""
     x, out = 88172645463325252, []
-    for _ in range(BANDS * ROWS):
+    for _ in range(COORDINATES):
         x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
         out.append((x ^ x >> 29) % (1 << 64) - (1 << 63))
     return out
@@ -43,10 +42,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame) -> DataFrame:
     """lid, first (doc_id, no), copies and bands of each different line: one shuffle of lines, then narrow steps."""
     lines = line_rows(docs).groupBy("lid").agg(F.min(F.struct("doc_id", "no", "line")).alias("first"), F.count("*").alias("copies"))
-    shingles = lines.select("lid", F.col("first.doc_id").alias("at"), F.col("first.no").alias("no"), "copies", F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "first.line"), F.lit(ANCHOR), F.lit(1))).alias("s"))
-    hashed = shingles.select("lid", "at", "no", "copies", F.xxhash64("s").alias("h"))
+    hashed = lines.select("lid", F.col("first.doc_id").alias("at"), F.col("first.no").alias("no"), "copies", F.explode(hashes(F.col("first.line"))).alias("h"))
     mins = [F.min(F.col("h").bitwiseXOR(F.lit(c).cast("long"))).alias(f"m{i}") for i, c in enumerate(constants())]
-    bands = F.array(*[F.xxhash64(*[F.col(f"m{b * ROWS + r}") for r in range(ROWS)], F.lit(b)) for b in range(BANDS)])
+    parts = [[(b * COORDINATES // BANDS + r) % COORDINATES for r in RULER] for b in range(BANDS)]
+    bands = F.array(*[F.xxhash64(*[F.col(f"m{i}") for i in p], F.lit(b)) for b, p in enumerate(parts)])
     return hashed.groupBy("lid", "at", "no", "copies").agg(*mins).select("lid", F.struct(F.col("at").alias("doc_id"), "no").alias("first"), "copies", bands.alias("bands"))
 
 
