@@ -100,3 +100,12 @@ def test_pairs_near_the_threshold_meet(spark):
     say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
     pairs = [(x, altered(rng, x, 0.8, 0.85)) for n in (9, 16, 33) for x in (say(n) for _ in range(400))]
     assert share_meeting(spark, pairs) >= 0.995
+
+
+def test_lines_without_blanks_meet_beyond_their_start(spark):
+    rng = random.Random(8)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(200)) for _ in range(100)]
+    tabs = ["\t".join("".join(rng.choice("ghijklmnop") for _ in range(6)) for _ in range(28)) for _ in range(100)]
+    lao = ["".join(chr(rng.randrange(0x0E81, 0x0EB0)) for _ in range(200)) for _ in range(100)]
+    pairs = [(x, "#" + x[1:]) for x in hexes + tabs + lao]
+    assert share_meeting(spark, pairs) == 1
