@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tidewatch.llm import words
-from tidewatch.llm.near import near_duplicates, without_near_duplicates
+from tidewatch.llm.near import BlockPairs, near_duplicates, without_near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,3 +92,17 @@ def test_edges(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, 2).collect()), key=str)
     assert got == sorted([(None, 2, False), (None, None, True), (4, 2, False), (4, 2, False), (2, 2, True), (3, 3, True)], key=str)
     assert near_duplicates(df.limit(0), 2).count() == 0
+
+
+def test_blocks_meet_pairs_whose_earlier_bands_agree_in_low_bytes_only():
+    sketch = np.ones((2, 128), np.uint64)
+    sketch[1, 0] += np.uint64(256)  # band 0 differs, though not in the low byte; band 1 is the first that is shared
+    bands = words.band_hashes(sketch, 4)
+    one, zero = pa.array([1, 1], pa.int32()), pa.array([0, 0], pa.int32())
+    rows = {
+        "band": pa.array([int(bands[0, 1])] * 2), "s": zero, "t": zero, "role": pa.array([0, 1], pa.int32()), "b": one, "rep": pa.array([10, 20]), "n": pa.array([3, 3]), "component": pa.array([10, 20]),
+        "sketch": pa.array([x.astype(np.uint8).tobytes() for x in sketch], pa.binary()), "bands": pa.array(bands.tolist(), pa.list_(pa.int64())), "shingles": pa.array([np.arange(3, dtype=np.uint64).tobytes()] * 2, pa.binary()),
+    }
+    batch = pa.record_batch(list(rows.values()), names=list(rows))
+    assert next(BlockPairs(80, False)(iter([batch]))).column("rep").to_pylist() == [10, 20]
+    assert next(BlockPairs(80, True)(iter([batch]))).to_pylist() == [{"src": 10, "dst": 20}]

@@ -129,6 +129,7 @@ class BlockPairs:
         for b in batches:
             band, s, t, role, index, rep, n, component = (b.column(c).to_numpy() for c in ("band", "s", "t", "role", "b", "rep", "n", "component"))
             lean = np.frombuffer(text_bytes(b.column("sketch"))[0], np.uint8).reshape(-1, SIZE)
+            bands = b.column("bands").flatten().to_numpy().reshape(-1, SIZE // BAND)
             body, at = text_bytes(b.column("shingles")) if self.with_sets else (None, None)
             src, dst = [], []
             for i in range(b.num_rows):
@@ -136,24 +137,24 @@ class BlockPairs:
                     group, held, block, done = (band[i], s[i], t[i]), [], None, set()
                 own = np.frombuffer(body[at[i] : at[i + 1]].tobytes(), np.uint64) if self.with_sets else None
                 if role[i] == 0:
-                    held.append((rep[i], n[i], component[i], lean[i], own))
+                    held.append((rep[i], n[i], component[i], lean[i], bands[i], own))
                     continue
                 if not held:
                     continue
                 if block is None:
-                    block = tuple(np.array([h[k] for h in held]) for k in range(4))
-                reps, sizes, components, leans = block
+                    block = tuple(np.array([h[k] for h in held]) for k in range(5))
+                reps, sizes, components, leans, lists = block
                 near = (components != component[i]) & (100 * np.minimum(sizes, n[i]) >= self.percent * np.maximum(sizes, n[i]))
                 near = np.flatnonzero(near)
                 if not len(near):
                     continue
                 same = leans[near] == lean[i]
-                first = same.reshape(len(near), SIZE // BAND, BAND).all(axis=2).argmax(axis=1)
+                first = (lists[near] == bands[i]).argmax(axis=1)
                 near = near[(first == index[i]) & (same.sum(axis=1) >= AGREE)]  # each pair in the first band it shares
                 for k in near:
                     if not self.with_sets:
                         src.append(reps[k])
-                    elif (pair := (reps[k], component[i])) not in done and linked(held[k][4], own, self.percent):
+                    elif (pair := (reps[k], component[i])) not in done and linked(held[k][5], own, self.percent):
                         done.add(pair)
                         src.append(reps[k])
                         dst.append(rep[i])
@@ -222,7 +223,7 @@ def across(docs: DataFrame, inside: DataFrame, classes: DataFrame, k: int, perce
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = rows.where("component <> main").select(*kept, each("ms").alias("s"), "t", F.lit(0).alias("role"))
     placed = outside.union(rows.select(*kept, "s", each("ls").alias("t"), F.lit(1).alias("role")))
-    lean = placed.join(classes.select("rep", "sketch"), "rep")
+    lean = placed.join(classes.select("rep", "sketch", "bands"), "rep")
     deal = lambda df: df.repartition("band", "s", "t").sortWithinPartitions("band", "s", "t", "role")
     active = stage(deal(lean).mapInArrow(BlockPairs(percent, False), "rep long").distinct(), "active")
     full = lean.join(active, "rep", "left_semi").join(sets_of(docs, active.select(F.col("rep").alias("id")), k), F.col("rep") == F.col("doc_id")).drop("doc_id")
