@@ -109,3 +109,10 @@ def test_lines_without_blanks_meet_beyond_their_start(spark):
     lao = ["".join(chr(rng.randrange(0x0E81, 0x0EB0)) for _ in range(200)) for _ in range(100)]
     pairs = [(x, "#" + x[1:]) for x in hexes + tabs + lao]
     assert share_meeting(spark, pairs) == 1
+
+
+def test_short_lines_take_part(spark):
+    rows = [(1, "All rights reserved.\nMenu\nfirst words"), (2, "All rights reserved.\nMenu\nShare this article"), (3, "Share this article\nabcdefgh"), (4, "abcdefgh\nabcdefghi")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped"] for r in line_report(df).collect()}
+    assert got == {1: "", 2: "0", 3: "0", 4: "0,1"}  # the last: 4 of 5 shingles are shared; "Menu" is shorter than a shingle

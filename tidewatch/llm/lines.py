@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators.components import connected_components
 from tidewatch.storage import stage
 
-MIN_CHARS = 32
 SHINGLE = 5  # characters of a shingle
+MIN_CHARS = SHINGLE  # shorter lines hold no shingle
 COORDINATES, BANDS = 84, 28
 RULER = (0, 1, 4, 10, 12, 17)  # a band's coordinates from its first on; no difference occurs twice
 PERCENT = 80
