@@ -1,6 +1,8 @@
 import random
 
-from tidewatch.llm.lines import MIN_CHARS, dedup_lines, line_report, signatures
+from pyspark.sql import functions as F
+
+from tidewatch.llm.lines import MIN_CHARS, dedup_lines, line_components, line_report, signatures
 
 
 def grams(line):
@@ -116,3 +118,19 @@ def test_short_lines_take_part(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["dropped"] for r in line_report(df).collect()}
     assert got == {1: "", 2: "0", 3: "0", 4: "0,1"}  # the last: 4 of 5 shingles are shared; "Menu" is shorter than a shingle
+
+
+def test_last_step_runs_where_the_one_before_has_no_pair(spark):
+    rng = random.Random(9)
+    chains = []
+    for i in range(300):
+        line = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)]
+        for at in (None, 10, 30, 50):  # neighbours share 51 of 61 shingles, others 46 of 66 or less
+            line = line if at is None else [*line[:at], "#", *line[at + 1 :]]
+            chains.append((i, at or 0, "".join(line)))
+    rows = spark.createDataFrame(chains, "i long, at long, line string").withColumn("lid", F.xxhash64("line")).orderBy("i", "at").collect()
+    chain = next(c for c in (rows[k : k + 4] for k in range(0, len(rows), 4)) if [r["lid"] for r in c] == sorted(r["lid"] for r in c))
+    low, m1, m2, high = (r["lid"] for r in chain)
+    lines = spark.createDataFrame([(low, [1, -1]), (m1, [1, 3]), (m2, [1, 2]), (high, [1, 2, 3])], "lid long, bands array<long>")
+    docs = spark.createDataFrame([(k, r["line"]) for k, r in enumerate(chain)], "doc_id long, text string")
+    assert {r["component"] for r in line_components(docs, lines).collect()} == {low}

@@ -132,7 +132,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
             pairs = ends.where("component <> other").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if done is not None and pairs.isEmpty():
-            break
+            continue  # the last step may have pairs though the one before has none
         fresh = verified(pairs, texts, maps, percent)
         edges = stage(fresh if edges is None else edges.union(fresh), "edges")
         done = pairs if done is None else done.union(pairs)
