@@ -62,3 +62,14 @@ def test_forest(spark):
     assert all(abs(exact[i][j] - s) <= 1e-9 * max(1, abs(s)) for i in got for j, s in got[i])
     assert [j for j, _ in got[0]] == [j for j, _ in want[0]]  # a third of all rows tie
     assert nearest(frame(spark, EDGES).limit(0)).count() == 0
+
+
+def test_exact_with_large_components(spark):
+    big, huge = float(1 << 21), float(1 << 22)
+    data = [(i, v) for i, v in rows(120, 8)] + [(200, [big, 3.0] + [0.0] * 6), (201, [huge, 1.0] + [0.0] * 6), (202, [-huge, 5.0] + [0.0] * 6), (250, [3e38] * 8)]
+    got = result(exact_top(frame(spark, data).repartition(2)))
+    for i in (0, 50, 100, 200, 250):
+        q = [int(np.floor(256 * float(np.float32(x)))) for x in dict(data)[i]]
+        exact = {j: sum(a * int(np.floor(256 * float(np.float32(b)))) for a, b in zip(q, v, strict=True)) for j, v in data if j != i}
+        exact = {j: min(2**63 - 1, max(1 - 2**63, s)) for j, s in exact.items()}
+        assert got[i] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:5]

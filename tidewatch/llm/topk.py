@@ -19,17 +19,41 @@ TILE = 4096
 QUERIES = 128
 
 
-def whole(x: np.ndarray) -> np.ndarray:
-    """floor(256 * x). Weights stop where a sum of products could leave 64 bits (2^28 at 64 components)."""
+LIMIT = (1 << 63) - 1
+
+
+def whole(x: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """floor(256 * x), and the rows with a weight whose sums of products could leave 64 bits (above 2^28 at 64
+    components) as Python integers; these rows are zeros in the first."""
     most = float(int((2.0**62 / max(1, x.shape[1])) ** 0.5))
-    return np.clip(np.floor(SCALE * x), -most, most).astype(np.int64)
+    scaled = np.floor(SCALE * x.astype(np.float64))
+    large = np.flatnonzero((np.abs(scaled) > most).any(axis=1))
+    exact = {int(i): np.array([int(w) for w in scaled[i]], object) for i in large}
+    scaled[large] = 0
+    return scaled.astype(np.int64), exact
+
+
+def products(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Inner products in Python integers; those that leave 64 bits end at its limits. What one side lacks is 0."""
+    width = min(rows.shape[1], len(row))
+    return np.array([min(LIMIT, max(-LIMIT, int(x))) for x in (rows[:, :width].astype(object) * row[:width]).sum(axis=1)], np.int64)
+
+
+def restored(weights: np.ndarray, large: dict[int, np.ndarray], at: int) -> np.ndarray:
+    """Rows from `at` on as Python integers, with those that `large` has."""
+    out = weights.astype(object)
+    for i, row in large.items():
+        if at <= i < at + len(out):
+            out[i - at] = row
+    return out
 
 
 class Postings:
     """A block's rows by term."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.k, self.weights = ids, k, whole(vectors)
+        self.ids, self.k = ids, k
+        self.weights, self.large = whole(vectors)
         self.tiles = []
         for at in range(0, len(ids), TILE):
             part = self.weights[at : at + TILE]
@@ -52,13 +76,17 @@ class Postings:
 
     def __call__(self, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out = []
-        asked = whole(queries)
+        asked, large = whole(queries)
         for i in range(0, len(query_ids), QUERIES):
             q, own = asked[i : i + QUERIES], query_ids[i : i + QUERIES]
             holds = [np.flatnonzero(q[:, t]) for t in range(q.shape[1])]
             terms = [(h, q[h, t]) for t, h in enumerate(holds)]
             for at, size, postings in self.tiles:
                 scores = self.accumulate(len(q), terms, size, postings)
+                for row in (r for r in self.large if at <= r < at + size):
+                    scores[:, row - at] = products(restored(q, large, i), self.large[row])
+                for line in (x for x in large if i <= x < i + len(q)):
+                    scores[line - i] = products(restored(self.weights[at : at + size], self.large, at), large[line])
                 ids = self.ids[at : at + size]
                 low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
                 for line in np.flatnonzero(high > low):
@@ -73,7 +101,7 @@ class Postings:
 def exact_top(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     """The k rows with the largest whole-number inner products for each row whose vec_id is divisible by `every`, ties to
     the smaller vec_id. Vectors that are null or hold a null or a number that isn't finite take no part; components
-    that a shorter vector lacks are 0. For rows without vec_id, repeated rows and empty tables see search_blocks."""
+    that a shorter vector lacks are 0. Scores are exact; those beyond 64 bits end at its limits, and tie. For rows without vec_id, repeated rows and empty tables see search_blocks."""
     return search_blocks(vectors.where(usable()), every, k, Postings, "long")
 
 
