@@ -4,6 +4,10 @@ The tokenizer's pre-tokenizer never joins text across ASCII white space, its nor
 so a text's ids are those of its white-space-separated words, one after the other. Words repeat: each distinct word of
 a batch is looked up once, and only words that the worker hasn't met lately are given to the tokenizer.
 `check_splits_at_spaces` tests this for a given tokenizer file; without it texts are encoded whole.
+
+If the tokenizer also parts a letter from a mark and takes capitals for small letters (`check_parts_marks`), words are
+put in small letters and lose their marks beforehand, so fewer of them differ; those of Latin letters alone then need
+neither its normalizer nor its patterns, only its model.
 """
 
 from __future__ import annotations
@@ -20,10 +24,17 @@ import pyarrow as pa
 from tidewatch.llm.common import row_groups, spans, text_bytes
 
 END_ID = 2
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 CACHE_WORDS = 300_000
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARK = np.zeros(256, bool)
+MARK[list(b".,;:!?")] = True
+LETTER = np.zeros(256, bool)
+LETTER[97:123] = True
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?]+")  # small Latin letters, each one code point, or marks
 
 
 def tokenizer_file() -> str:
@@ -32,8 +43,9 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def has_digit(word: str) -> bool:
-    return "0" in word
+def kind_of(word: str) -> int:
+    """0 for a plain word, 2 for one with the digit that parts words in learn(), else 1."""
+    return 0 if PLAIN.fullmatch(word) else 1 + ("0" in word)
 
 
 class WordEncoder:
@@ -45,6 +57,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = check_splits_at_spaces(self.tokenizer)
+        self.model = self.by_words and model_alone(self.tokenizer)
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.count = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64)
@@ -58,10 +71,13 @@ class WordEncoder:
         hold this digit themselves, or whose ids include its id, go through the tokenizer's own list of words.
         """
         counts, parts = [], []
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
+        plain = sum(kind_of(w) == 0 for w in words) if self.model else 0  # they come first
+        cuts = [*range(0, plain, 500), *range(plain, len(words), 500), len(words)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            some = words[i:j]
             if self.mark is not None and "0" not in (joined := " ".join(some)):
-                ids = np.array(self.tokenizer.encode_batch_fast([joined.replace(" ", " 0 ")], add_special_tokens=False)[0].ids, np.uint32)
+                coder = self.model if j <= plain else self.tokenizer
+                ids = np.array(coder.encode_batch_fast([joined.replace(" ", " 0 ")], add_special_tokens=False)[0].ids, np.uint32)
                 at = np.flatnonzero(ids == self.mark)
                 if len(at) == len(some) - 1:
                     counts.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
@@ -82,7 +98,7 @@ class WordEncoder:
         new = np.flatnonzero(where < 0)
         ids, start, count = self.ids, self.start[where], self.count[where]
         if len(new):
-            fresh = sorted((distinct[i] for i in new), key=has_digit)
+            fresh = sorted((distinct[i] for i in new), key=kind_of)
             back = {w: i for i, w in enumerate(fresh)} if fresh != [distinct[i] for i in new] else None
             got, n = self.learn(fresh)
             first = np.cumsum(n) - n
@@ -104,6 +120,10 @@ class WordEncoder:
         word = ~ASCII_SPACE[body]
         edge = np.zeros(len(body) + 1, bool)
         edge[at] = True
+        if self.model and b"<|" not in body.tobytes():  # special tokens are told apart by their capitals
+            body = SMALL[body]
+            letter, mark = LETTER[body], MARK[body]
+            edge[1:-1] |= letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
         begins = word & (edge[:-1] | np.concatenate([[True], ~word[:-1]]))
         ends = word & (edge[1:] | np.concatenate([~word[1:], [True]]))
         first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -154,6 +174,26 @@ def check_splits_at_spaces(tokenizer) -> bool:
     return whole == tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False).ids
 
 
+def model_alone(tokenizer):
+    """A tokenizer for plain words: the same model without normalizer and patterns; None if it gives other ids."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    alone = Tokenizer(tokenizer.model)
+    alone.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return alone if check_parts_marks(tokenizer, alone) else None
+
+
+def check_parts_marks(tokenizer, alone) -> bool:
+    """Whether hard texts have the ids of their small-letter words without marks, and plain words those of the model alone."""
+    hard = "It's, don't. We'll?s 'A.B' x.y!z é.É É.e ß.ss ..a ...B!? a'.s a.'s No.1 1.No a...b Á.b é,f ẞ.a ….a a….b ·.a ;s ,re Straße. Über, façade: naïve; zq qzxÿ øre. 0 a0 0.a"
+    small = re.sub(r"[A-Z]", lambda m: m[0].lower(), hard)
+    parted = re.sub(r"(?<=[a-z])(?=[.,;:!?])|(?<=[.,;:!?])(?=[a-z])", " ", small)
+    ids = lambda t, x: t.encode(x, add_special_tokens=False).ids
+    latin = "".join(map(chr, [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+    plain = [w for w in parted.split() if PLAIN.fullmatch(w)] + list(latin) + [a + b for a in latin for b in "aeés"] + ["0"]
+    return ids(tokenizer, hard) == ids(tokenizer, parted) and all(ids(tokenizer, w) == ids(alone, w) for w in plain) and ids(tokenizer, " ".join(plain)) == ids(alone, " ".join(plain))
+
+
 def documents_ids(encoder: WordEncoder, column: pa.Array, end_id: int = END_ID) -> Iterator[np.ndarray]:
     """Each row's ids with the end id."""
     for ids, counts in encoder.batch(column):
