@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Local workers import functions from this checkout; a cluster ships the package with --py-files instead."""
+    """Local workers import functions from this checkout; a cluster ships the package with --py-files instead. Batches
+    that go to workers are held to BATCH_BYTES, unless the session has a lower limit: both ends hold several at a time."""
+    limit = spark.conf.get(BATCH, "64m")
+    if (int(limit.rstrip("b")) if limit.rstrip("b").isdigit() else BATCH_BYTES + 1) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in parts:

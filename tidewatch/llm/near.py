@@ -32,7 +32,7 @@ from tidewatch.storage import stage
 SIZE = 128
 BAND = 4
 PERCENT = 80
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 SALT_SHINGLES = 1 << 17
 FILTER_BITS = 1 << 24
 BLOCK = 768

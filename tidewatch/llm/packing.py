@@ -20,7 +20,7 @@ from tidewatch.llm.tokens import END_ID, documents_ids, encoder, tokenizer_file
 
 MAX_LENGTH = 4096
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 
 
 def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:

@@ -222,7 +222,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, ids in shard.scan():
                 rows.append((doc, start, len(ids), ids.astype("<u4").tobytes()))
                 start, held = start + len(ids), held + 4 * len(ids)
-                if held >= 1 << 24:
+                if held >= 1 << 22:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows, held = [], 0
             if rows:

@@ -274,7 +274,7 @@ class RangeMerger:
             r = parse_record(gzip.GzipFile(fileobj=io.BytesIO(files.read(path, offset, length))).read())
             rows.append({"urlkey": urlkey, "stamp": stamp} | r)
             held += len(r["payload"] or b"") + 500
-            if held >= 1 << 24:
+            if held >= 1 << 22:
                 yield records_batch(rows)
                 rows, held = [], 0
         if rows:
