@@ -26,6 +26,15 @@ def test_layouts(page):
     assert extract(page) == WANT
 
 
+LINKS = "<ul><li><a href=1>One source</a></li><li><a href=2>Another source</a></li><li><a href=3>A third</a></li></ul>"
+
+
+@pytest.mark.parametrize("inside", [LINKS, "<div class='social-history'><p>One source</p><p>Another source</p><p>A third</p></div>", "<p id='notice-period'>One source</p><p>Another source</p><p class=related-work>A third</p>"])
+def test_article_text_is_kept(inside):
+    page = f"<body><nav>{LINKS}</nav><div class='related-posts box2'>{LINKS}</div><article>{BODY}{inside}</article><div id=siteFooter><p>Foot, foot, foot, foot.</p></div></body>"
+    assert extract(page) == f"{WANT}\nOne source\nAnother source\nA third"
+
+
 def test_edges():
     assert extract(None) == extract("") == extract("<script>x") == ""
     assert extract("just text") == "just text"
@@ -41,7 +50,9 @@ def test_template_pages_lose_nothing():
     import html
     import re
 
-    for path in glob.glob("/root/testdata/sf0.01/pages.parquet"):
+    paths = glob.glob("/root/testdata/sf0.01/pages.parquet")
+    assert paths
+    for path in paths:
         for page in pq.read_table(path)["html"].to_pylist():
             inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
             parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]

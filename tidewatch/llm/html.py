@@ -27,9 +27,10 @@ WHOLE = frozenset(("article", "main"))
 KEPT_APART = frozenset(("html", "body", "article", "main"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
-# Words in class and id attributes that mark page furniture.
+# Words in class and id attributes that mark page furniture, and those that say nothing beside one of them.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner sidebar sidebars rail menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion widget widgets skip copyright".split())
 FURNITURE_PAIRS = frozenset(("site header", "page header", "top bar", "side bar", "nav bar", "bread crumbs", "read more", "skip link", "global header", "main header", "header bar"))
+NEUTRAL = frozenset("site page main global top bottom left right inner outer box block bar area zone section wrap wrapper container holder group list item items row col column link links icon icons button buttons form text content title heading header head body post posts article articles story stories entry entries primary secondary sticky fixed small large big wide mobile desktop js is the and new".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
@@ -69,14 +70,21 @@ def furniture(attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
-            words = [w.lower() for w in WORDS.findall(value)]
-            words = [w for before, w in zip(["", *words], words, strict=False) if before not in ("has", "with", "no")]
-            if not FURNITURE.isdisjoint(words) or any(f"{a} {b}" in FURNITURE_PAIRS for a, b in zip(words, words[1:], strict=False)):
-                return True
+        if name in ("class", "id") and any(map(marks_furniture, value.split())):
+            return True
     return False
 
 
+def marks_furniture(name: str) -> bool:
+    """Whether a class or id names furniture as a whole: `notice-box` does, `notice-period` and `has-menu` don't."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if any(w in ("has", "with", "no") for w in words):
+        return False
+    pairs = [f"{a} {b}" in FURNITURE_PAIRS for a, b in zip(words, words[1:], strict=False)]
+    marked = [w in FURNITURE or before or after for w, before, after in zip(words, [False, *pairs], [*pairs, False], strict=True)]
+    return any(marked) and all(m or w in NEUTRAL or w.isdigit() for m, w in zip(marked, words, strict=True))
+
+
 def parse(page: str, marks: bool = True) -> Node:
     """The page's tree. Children are nodes and strings; unclosed and stray tags are mended much as browsers do it."""
     root = here = Node("#root", None, False)
@@ -270,8 +278,11 @@ def extract(page: str | None) -> str:
         root = parse(page, marks=False)
         prune(root)
         measure(root)
+    within = set()  # what stands in an article is its text, lists of links too
     for node in in_order(root):
-        if any(isinstance(c, Node) and is_menu(c) for c in node.children):
+        if node.tag in WHOLE or id(node.parent) in within:
+            within.add(id(node))
+        elif any(isinstance(c, Node) and is_menu(c) for c in node.children):
             node.children = [c for c in node.children if not (isinstance(c, Node) and is_menu(c))]
     return "\n".join(blocks(best(root)))
 
@@ -286,8 +297,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars (its code points) in place of html.
 
-    Map-only. A null or empty page has an empty text; repeated pages are each answered; an empty table gives no rows;
-    other columns pass through, and ones named text or n_chars are replaced.
+    Map-only. A null or empty page has an empty text; a page of any length is read whole, in time linear in it; of
+    containers with equal points the first counts; repeated pages are each answered; an empty table gives no rows; other
+    columns pass through, and ones named text or n_chars are replaced.
     """
     pages = pages.select(*[f"`{c}`" for c in pages.columns if c not in ("text", "n_chars")])
     schema = pages.drop("html").schema.add("text", "string").add("n_chars", "long")
