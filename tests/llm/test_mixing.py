@@ -41,3 +41,15 @@ def test_mix(spark):
     assert mixed_rows(df).count() == sum(r["copies"] for r in out)
     assert mixed_rows(df).columns == df.columns
     assert mix(df.limit(0)).count() == 0
+
+
+def test_rows_with_one_id_or_none_are_drawn_apart(spark):
+    """Half of the rows lack an id, a source is one row repeated, another one text under many ids."""
+    rows = [(None if i % 2 else i, "s1", f"{'w ' * (1 + i % 7)}{i}") for i in range(1500)]
+    rows += [(7, "s2", "the very same row")] * 1001 + [(i, "s3", "one text, many ids") for i in range(400)] + [(None, "s4", f"x{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    runs = [mix(x).collect() for x in (df, df.repartition(3))]
+    assert len({tuple(sorted(map(str, r))) for r in runs}) == 1
+    for s in ("s1", "s2", "s3", "s4"):
+        own = [r for r in runs[0] if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 8, s
