@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does on the driver's garbage
+    collections only: between the steps of a long job they would fill the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes what stage() wrote, once nothing reads it any more."""
     path = getattr(df, "_tidewatch_path", None)
