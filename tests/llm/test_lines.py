@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm.lines import MIN_CHARS, dedup_lines, line_components, line_report, signatures
+from tidewatch.llm import lines
+from tidewatch.llm.lines import MIN_CHARS, bands_of, dedup_lines, line_components, line_report, signatures
 
 
 def grams(line):
@@ -11,12 +12,12 @@ def grams(line):
 
 def brute(rows):
     """Kept line numbers of each row, by all pairs of different lines."""
-    lines = {}
+    seen = {}
     for d, t in rows:
         for no, line in enumerate((t or "").split("\n") if t is not None else []):
             if len(line) >= MIN_CHARS:
-                lines.setdefault(line, []).append((-1 if d is None else d, no))
-    names = sorted(lines)
+                seen.setdefault(line, []).append((-1 if d is None else d, no))
+    names = sorted(seen)
     up = {x: x for x in names}
 
     def find(x):
@@ -31,7 +32,7 @@ def brute(rows):
                 up[find(x)] = find(y)
     first = {}
     for x in names:
-        first[find(x)] = min(min(lines[x]), first.get(find(x), min(lines[x])))
+        first[find(x)] = min(min(seen[x]), first.get(find(x), min(seen[x])))
     out = []
     for d, t in rows:
         parts = t.split("\n") if t is not None else []
@@ -76,32 +77,27 @@ def test_plan_is_native(spark):
     assert "Python" not in line_report(df)._jdf.queryExecution().toString()
 
 
-def altered(rng, line, low, high):
-    """A copy with characters replaced one by one until the similarity is in low..high."""
-    while True:
-        out = line
-        for _ in range(len(line)):
-            at = rng.randrange(len(line))
-            out = out[:at] + rng.choice("ghijklmnop") + out[at + 1 :]
-            j = len(grams(line) & grams(out)) / len(grams(line) | grams(out))
-            if j < high:
-                break
-        if low <= j < high:
-            return out
+def shifted(rng, line, percent):
+    """A copy without the first and with other last characters, at or just above the similarity."""
+    k = max(j for j in range(len(line) - 4) if 100 * (len(line) - 4 - j) >= percent * (len(line) - 4 + j))
+    return line[k:] + "".join(rng.choice("ABCDEFGHIJ") for _ in range(k))
 
 
 def share_meeting(spark, pairs):
     """The share of the pairs that meet in a band."""
     df = spark.createDataFrame([(i, x) for i, x in enumerate(sum(map(list, pairs), []))], "doc_id long, text string")
-    found = {r["first"]["doc_id"]: set(r["bands"]) for r in signatures(df).collect()}
+    named = signatures(df).select("lid", bands_of().alias("bands")).join(df.select("doc_id", F.xxhash64("text").alias("lid")), "lid")
+    found = {r["doc_id"]: set(r["bands"]) for r in named.collect()}
     return sum(bool(found[2 * i] & found[2 * i + 1]) for i in range(len(pairs))) / len(pairs)
 
 
 def test_pairs_near_the_threshold_meet(spark):
     rng = random.Random(7)
     say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
-    pairs = [(x, altered(rng, x, 0.8, 0.85)) for n in (9, 16, 33) for x in (say(n) for _ in range(400))]
-    assert share_meeting(spark, pairs) >= 0.995
+    scripts = [lambda: "".join(chr(rng.randrange(a, b)) for _ in range(90)) for a, b in ((0x1780, 0x17B0), (0x4E00, 0x5E00), (0x0E81, 0x0EB0), (97, 123))]
+    made = [say(n) for n in (6, 9, 16, 33, 120) for _ in range(300)] + [f() for f in scripts for _ in range(200)]
+    assert share_meeting(spark, [(x, shifted(rng, x, 80)) for x in made]) >= 0.985
+    assert share_meeting(spark, [(x, shifted(rng, x, 86)) for x in made]) >= 0.997
 
 
 def test_lines_without_blanks_meet_beyond_their_start(spark):
@@ -120,7 +116,8 @@ def test_short_lines_take_part(spark):
     assert got == {1: "", 2: "0", 3: "0", 4: "0,1"}  # the last: 4 of 5 shingles are shared; "Menu" is shorter than a shingle
 
 
-def test_last_step_runs_where_the_one_before_has_no_pair(spark):
+def test_last_step_finds_what_pivots_miss(spark, monkeypatch):
+    monkeypatch.setattr(lines, "AGREE", 6)
     rng = random.Random(9)
     chains = []
     for i in range(300):
@@ -130,7 +127,34 @@ def test_last_step_runs_where_the_one_before_has_no_pair(spark):
             chains.append((i, at or 0, "".join(line)))
     rows = spark.createDataFrame(chains, "i long, at long, line string").withColumn("lid", F.xxhash64("line")).orderBy("i", "at").collect()
     chain = next(c for c in (rows[k : k + 4] for k in range(0, len(rows), 4)) if [r["lid"] for r in c] == sorted(r["lid"] for r in c))
+
+    def sig(own, *bands):  # the bands named share their coordinates with all that name them, the others are the line's own
+        out = [own * 100 + k for k in range(lines.COORDINATES)]
+        for b in bands:
+            for r in lines.RULER:
+                out[(b * lines.COORDINATES // lines.BANDS + r) % lines.COORDINATES] = -1000 - b * 10 - r
+        return out
+
     low, m1, m2, high = (r["lid"] for r in chain)
-    lines = spark.createDataFrame([(low, [1, -1]), (m1, [1, 3]), (m2, [1, 2]), (high, [1, 2, 3])], "lid long, bands array<long>")
+    made = spark.createDataFrame([(low, sig(1, 0)), (m1, sig(2, 0)), (m2, sig(3, 0)), (high, sig(4, 0, 13))], "lid long, sig array<short>")
     docs = spark.createDataFrame([(k, r["line"]) for k, r in enumerate(chain)], "doc_id long, text string")
-    assert {r["component"] for r in line_components(docs, lines).collect()} == {low}
+    assert {r["component"] for r in line_components(docs, made).collect()} == {low}
+
+
+def test_large_band_in_blocks(spark, monkeypatch):
+    """Many lines that begin alike fall into few bands; blocks of two rows find the same links as brute force."""
+    monkeypatch.setattr(lines, "BLOCK", 2)
+    monkeypatch.setattr(lines, "RULER", (0,))
+    monkeypatch.setattr(lines, "AGREE", 10)
+    rng = random.Random(4)
+    stem = "".join(rng.choice("abcdefghij") for _ in range(120))
+    rows = [(i, stem[: 120 - 12 * (i % 5)] + "".join(rng.choice("klmnop") for _ in range(12 * (i % 5) + i % 3))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped"] for r in line_report(df).collect()} == {w[0]: w[2] for w in brute(rows)}
+
+
+def test_rows_that_share_an_id(spark):
+    line = "the very same line, long enough to count"
+    rows = [(1, f"{line}\none tail here"), (1, f"{line}\nother end there"), (1, f"{line}\nother end there"), (None, None), (None, None)]
+    got = sorted((r["n_lines"], r["dropped"]) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got in ([(0, ""), (0, ""), (2, ""), (2, "0"), (2, "0")], [(0, ""), (0, ""), (2, ""), (2, ""), (2, "0")])
