@@ -1,8 +1,8 @@
 """Language identification with a byte convolutional network.
 
 Embedded bytes pass filters of several widths, each filter's largest response in a window of fixed length is kept, and
-a softmax layer votes for a language. The network is trained in numpy, on the driver, on at most MAX_DOCS documents
-and WINDOWS_PER_DOC windows of each (a sample by hash, the same on every run). A document's windows overlap by the
+a softmax layer votes for a language. The network is trained in numpy, on the driver, on a bounded sample: MAX_DOCS
+documents, drawn by hash and the same on every run, and WINDOWS_PER_DOC windows of each. A document's windows overlap by the
 widest filter less one, so all of its bytes count; its score is the mean probability over its windows, weighted by
 their lengths.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import give_back, row_groups, spans, text_bytes
@@ -25,7 +25,6 @@ FILTERS = 16  # of each width
 DIM = 8
 MAX_DOCS = 3000
 WINDOWS_PER_DOC = 4
-MAX_LANGS = 256
 UNKNOWN = "und"
 REACH = max(WIDTHS)
 
@@ -131,26 +130,33 @@ def sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, seed: int = 7) -> ByteNet | None:
-    """A network for the languages of `labelled` (doc_id long, text, lang); None if no row has a text and a lang.
+    """A network for all languages of `labelled` (doc_id long, text, lang); None if no row has a lang and a letter in its text.
 
-    At most max_docs documents are drawn by hash, an equal share for each of the MAX_LANGS most frequent languages, so
-    what reaches the driver is bounded by 2 * max_docs * WINDOWS_PER_DOC windows at any input size. Repeated rows weigh as
-    often as they occur.
+    Of each language those documents are drawn whose hashes of id and text are least, max_docs / languages of them (one at
+    least), so what reaches the driver is bounded by WINDOWS_PER_DOC windows of max_docs documents, or of one for each
+    language if there are more of those. The draw is the same on every run, however the rows are dealt; rows that share an
+    id, or have none, are drawn by their texts, and rows that repeat each other count once. Ties can't be told apart.
     """
-    rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return None
-    langs = sorted(counts)
-    each = max_docs / len(langs)
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, each / n))) for x, n in counts.items()], F.lit(0.0))
-    drawn = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
-    got = drawn.mapInArrow(sample_windows, "lang string, doc_id long, at long, window binary").limit(2 * max_docs * WINDOWS_PER_DOC).collect()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["at"], r["window"]))
-    if not got:
-        return None
+    langs = sorted(r["lang"] for r in counts)
+    each = max(1, max_docs // len(langs))
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * each + 50) / r["n"])) for r in counts], "lang string, share double")
+    near = rows.join(F.broadcast(share) if len(langs) < 10_000 else share, "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    first = near.groupBy("lang", "draw").agg(F.min_by("text", "draw").alias("text"), F.min("doc_id").alias("doc_id"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw"))
+    drawn = first.withColumn("n", order).where(F.col("n") <= each).select("doc_id", "text", "lang")
+    got = drawn.mapInArrow(sample_windows, "lang string, doc_id long, at long, window binary").collect()
+    if len({r["lang"] for r in got}) < len(langs):  # rows that repeat each other may all lie beyond the share
+        lacking = rows.where(~F.col("lang").isin([*{r["lang"] for r in got}])) if got else rows
+        least = lacking.groupBy("lang").agg(F.min(F.struct(F.pmod("draw", F.lit(1 << 30)).alias("d"), "draw", "doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "lang")
+        got += least.mapInArrow(sample_windows, "lang string, doc_id long, at long, window binary").collect()
+    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["at"], r["window"], r["lang"]))
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in got), np.uint8).reshape(-1, LENGTH)
-    labels = np.array([langs.index(r["lang"]) for r in got])
+    place = {x: i for i, x in enumerate(langs)}
+    labels = np.array([place[r["lang"]] for r in got])
     del got
     net = train(windows, labels, langs, seed=seed)
     give_back()
@@ -196,7 +202,8 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
     """docs with lang_pred (a learned language, or `und` where the text is null or has no letter) and score (0 for `und`).
 
     Every column but lang_pred and score is returned as it was; columns of these two names are replaced. Without a
-    network (no labelled rows) all rows are `und`. Repeated rows get the same answer; an empty table gives no rows.
+    network (no labelled rows) all rows are `und`. All windows of a text count, whatever its length; of equally likely
+    languages the first by code point is returned. Repeated rows get the same answer; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
     if text != "text" or "has_letter" in docs.columns:
