@@ -106,3 +106,13 @@ def test_blocks_meet_pairs_whose_earlier_bands_agree_in_low_bytes_only():
     batch = pa.record_batch(list(rows.values()), names=list(rows))
     assert next(BlockPairs(80, False)(iter([batch]))).column("rep").to_pylist() == [10, 20]
     assert next(BlockPairs(80, True)(iter([batch]))).to_pylist() == [{"src": 10, "dst": 20}]
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = "a b c d e f g h", "another text that has some words"
+    rows = [(4, text), (4, text), (9, text), (None, text), (None, text), (None, other), (None, other), (7, "one id"), (7, "with two texts"), (None, None), (None, None), (3, ""), (3, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node int")
+    got = without_near_duplicates(df, 2)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(4, text), (None, other), (7, "one id"), (7, "with two texts"), (None, None), (None, None), (3, ""), (3, "")], key=str)
+    assert without_near_duplicates(df.limit(0), 2).count() == 0

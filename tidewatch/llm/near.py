@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import give_back, row_groups, text_bytes
 from tidewatch.llm.words import band_hashes, fast_sketch, shingle_sets, word_hashes
 from tidewatch.operators.components import connected_components
-from tidewatch.storage import stage
+from tidewatch.storage import stage, sweep, unstage
 
 SIZE = 128
 BAND = 4
@@ -271,6 +271,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that aren't kept; of rows that share a kept id and repeat each other one stays."""
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, null last, then by a hash.
+
+    A row is known by its doc_id and text together, so rows that share an id but not the text are different documents,
+    and of rows that repeat both, or have no id, one stays as of any copies. Rows without words are in no group and all
+    stay, whatever repeats. Texts of any length count whole; an empty table gives no rows; all other columns are kept as
+    they are, under any name.
+    """
+    names = docs.columns
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in own.items()])
+    node = F.xxhash64(own["doc_id"], own["text"])
+    found = stage(near_duplicates(rows.select(node.alias("doc_id"), F.col(own["text"]).alias("text")), k, percent).where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id"), "found")
+    ids = rows.select(node.alias("node"), F.col(own["doc_id"]).alias("id")).join(found.groupBy("node").agg(F.min("component_id").alias("component"), F.count("*").alias("n")), "node")
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "node"))["node"]
+    nodes = stage(ids.groupBy("node", "component", "n").agg(F.min("id").alias("id")), "nodes")
+    kept = nodes.groupBy("component").agg(first.alias("node"))
+    gone = nodes.join(kept, ["component", "node"], "left_anti").select("node")
+    left = rows.withColumn("node", node).join(stage(gone, "gone"), "node", "left_anti")
+    several = stage(nodes.where("n > 1").join(kept.select("node"), "node", "left_semi").select("node"), "several")
+    once = left.join(several, "node", "left_anti")
+    if not several.isEmpty():
+        once = once.unionByName(left.join(several, "node", "left_semi").dropDuplicates(["node"]))
+    unstage(found)
+    return once.select(*[F.col(v).alias(c) for c, v in own.items()])
