@@ -59,3 +59,30 @@ def test_stages_keep_the_columns(spark):
     for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs.limit(0), "").columns == docs.columns
     assert corpus_pipeline.STAGES[0][1](spark, docs, "").where("lang IS NULL").count() == 0
+
+
+def test_stages_with_edge_rows(spark):
+    """Nulls, repeats, shared ids, one long text and columns that are named as results."""
+    long = "word " * 60_000
+    rows = [(None, None, None, None, None), (None, "", "en", "s", 0), (1, "the same text here and there", "en", None, 28), (1, "the same text here and there", "en", None, 28), (None, "the same text here and there", None, "s", 28), (2, long, "en", "s", None), (3, "99", "en", "s", 2)]
+    docs = spark.createDataFrame([(*r, "x", 0.5, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, size int")
+    kept = docs
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, kept, "")
+        assert out.columns == docs.columns
+        kept = spark.createDataFrame(out.collect(), docs.schema)
+    assert {r["lang_pred"] for r in kept.collect()} == {"x"}
+    texts = {r["text"] for r in kept.collect()}
+    assert long in texts and None not in texts and "99" not in texts
+    out = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
+    assert {r["doc_id"] for r in out} >= {2}
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "12", None, "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
