@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.storage import stage, unstage
 
 
-def _checksum(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written out, and their number and checksum, which the same job observes."""
+    seen = Observation()
+    out = stage(e.observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("sum")), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -32,13 +35,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end and loops are left out; repeated edges count once; no edges give no rows.
     """
     a, b = F.col(src), F.col(dst)
-    e = stage(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = _checksum(e)
+    e, seen = _written(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after = stage(_small_star(_large_star(e)), "edges")
-        now = _checksum(after)
+        after, now = _written(_small_star(_large_star(e)))
         unstage(e)
         e = after
         if now == seen:

@@ -20,8 +20,14 @@ def prepare(events: DataFrame, dedup: str = "event_id") -> DataFrame:
     """
     if dedup not in ("event_id", "fingerprint"):
         raise ValueError(f"unknown strategy: {dedup!r}")
-    marked = events.withColumn("__fp", fingerprint())
-    w = Window.partitionBy("event_id" if dedup == "event_id" else "__fp").orderBy("event_us", "event_id", "__fp")
+    if dedup == "fingerprint":
+        marked = events.withColumn("__fp", fingerprint())
+        key = "__fp"
+    else:  # content decides only between events that share an id, so only theirs is hashed
+        several = F.count("*").over(Window.partitionBy("event_id")) > 1
+        marked = events.withColumn("__several", several).withColumn("__fp", F.when(F.col("__several"), fingerprint())).drop("__several")
+        key = "event_id"
+    w = Window.partitionBy(key).orderBy("event_us", "event_id", "__fp")
     return marked.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__fp")
 
 
