@@ -34,3 +34,16 @@ def duration_text(us: int) -> str:
         n, left = divmod(left, UNITS[unit] // SECOND)
         parts += f"{n}{unit}" if n else ""
     return parts or f"{us / SECOND:g}s"
+
+
+def duration_column(us):
+    """duration_text() of a column of microseconds."""
+    from pyspark.sql import functions as F
+
+    whole = F.bround(us / F.lit(SECOND)).cast("bigint")
+    piece = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    parts = F.concat(piece(F.floor(whole / 3600), "h"), piece(F.floor(whole / 60) % 60, "m"), piece(whole % 60, "s"))
+    text = F.when(us == 0, "0s")
+    for unit in "wdhm":
+        text = text.when((us >= UNITS[unit]) & (us % UNITS[unit] == 0), F.concat(F.floor(us / UNITS[unit]).cast("string"), F.lit(unit)))
+    return text.otherwise(F.when(parts != "", parts).otherwise(F.concat((us / SECOND).cast("string"), F.lit("s"))))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.durations import duration_text, micros
+from tidewatch.functions.durations import duration_column, duration_text, micros
 from tidewatch.functions.predicates import field, predicate
 from tidewatch.operators.sequence import ACTOR, evaluate
 from tidewatch.plans.rules import Count, Detection, pattern_of
+from tidewatch.storage import stage
 
 # Event types and values that signals look for.
 ARCHIVERS = ("zip", "7z", "tar", "gpg", "rar", "openssl")
@@ -41,16 +43,46 @@ INDICATORS = {
     "H5": (("logging_disabled", 1.2, True), ("outside_maintenance_window", 1.3, True), ("unseen_device", 1.1, True), ("temp_identity_created", 1.0, True), ("temp_identity_deleted", 0.8, True), ("approval_present", 1.4, False)),
     "H6": (("automation_actor", 1.6, True), ("shell_history_deleted", 1.0, False), ("removable_media_write", 1.0, False)),
 }
-SIGNALS = tuple(sorted({s for xs in INDICATORS.values() for s, _, _ in xs}))
+# How contradicting indicators read in a case, by hypothesis and signal.
+NOTES = {
+    ("H1", "approval_present"): "approved change ticket", ("H1", "no_endpoint_activity"): "no endpoint activity on device",
+    ("H2", "removable_media_write"): "local removable-media staging", ("H2", "device_enrolled"): "activity from enrolled device",
+    ("H3", "endpoint_telemetry_stopped"): "telemetry stopped", ("H3", "shell_history_deleted"): "shell history deleted",
+    ("H5", "approval_present"): "approved maintenance ticket",
+    ("H6", "shell_history_deleted"): "interactive shell history deleted", ("H6", "removable_media_write"): "removable-media staging",
+}
+# Sentences of cases.
+THESES = {"H2": "More consistent with compromised credentials than deliberate insider activity", "H5": "Anomalous privileged-administrator activity outside the approved maintenance window"}
+ENROLLED = "Activity originated from an enrolled corporate device"
+STEP_TEXTS = {"process.execution": ("process_name", "Encrypted archive created using ", "archive tool"), "filesystem.write": ("destination_type", "Data staged to ", "external destination"), "security.telemetry_state": ("state", "Endpoint telemetry ", "altered")}
+SIGNAL_TEXTS = (("first_seen_access", "First-ever access to restricted repositories"), ("new_token_created", "New access token created shortly before activity"), ("shell_history_deleted", "Shell history deleted"))
+
+
+@dataclass(frozen=True)
+class Hypothesis:
+    """An explanation; indicators are (signal, weight, whether it supports, note)."""
+
+    id: str
+    label: str
+    malicious: bool = False
+    prior: float = 0.0
+    indicators: tuple[tuple[str, float, bool, str], ...] = ()
+
+
+DEFAULT = tuple(Hypothesis(h, label, bad, prior, tuple((s, w, up, NOTES.get((h, s), s.replace("_", " "))) for s, w, up in INDICATORS[h])) for h, label, bad, prior in HYPOTHESES)
 
 
 def scoped_events(events: DataFrame, alerts: DataFrame, by_actor: bool = True) -> DataFrame:
-    """Events of each alert's actor, with case_id; all events for an alert without one (or a rule not joined on it)."""
-    small = alerts.select("case_id", F.col("actor_id").alias("__actor"), F.transform("steps", lambda s: s["event_id"]).alias("__used"))
-    if not by_actor:
-        return events.join(small, F.lit(True))
+    """Events of each alert's actor, with case_id; all events for an alert without one (or a rule not joined on it).
+
+    The alerts are written out once. Only where some alert takes in all events does a join without a key take place, and
+    its result is that product.
+    """
+    small = alerts.select("case_id", F.col("actor_id").alias("__actor") if by_actor else F.lit(None).cast("string").alias("__actor"), F.transform("steps", lambda s: s["event_id"]).alias("__used"))
+    small = stage(small, "alerts")
     same = events.join(small.where("__actor IS NOT NULL"), F.col(ACTOR) == F.col("__actor"))
-    return same.unionByName(events.join(small.where("__actor IS NULL"), F.lit(True)))
+    wide = small.where("__actor IS NULL")
+    return same if wide.isEmpty() else same.unionByName(events.join(wide, F.lit(True)))
 
 
 def signals(scoped: DataFrame) -> DataFrame:
@@ -80,10 +112,10 @@ def signals(scoped: DataFrame) -> DataFrame:
     )
 
 
-def with_facts(found: DataFrame, facts: dict | None) -> DataFrame:
+def with_facts(found: DataFrame, facts: dict | None, hypotheses: tuple = DEFAULT) -> DataFrame:
     """Facts override signals; signals that nothing shows are false."""
     facts = facts or {}
-    for s in SIGNALS:
+    for s in sorted({s for h in hypotheses for s, *_ in h.indicators} | {x for x, v in facts.items() if isinstance(v, bool)}):
         if s in facts:
             found = found.withColumn(s, F.lit(bool(facts[s])))
         elif s not in found.columns:
@@ -91,14 +123,15 @@ def with_facts(found: DataFrame, facts: dict | None) -> DataFrame:
     return found
 
 
-def hypothesis_scores(found: DataFrame) -> DataFrame:
-    """case_id, hypothesis, label, malicious, score, support, probability (softmax over a case), rank."""
+def hypothesis_scores(found: DataFrame, hypotheses: tuple = DEFAULT) -> DataFrame:
+    """case_id, hypothesis, label, malicious, score, support, against (notes), probability (softmax over a case), rank."""
     rows = []
-    for h, label, bad, prior in HYPOTHESES:
-        marks = [(F.col(s).cast("double") * w, up) for s, w, up in INDICATORS[h]]
-        plus = reduce(lambda a, b: a + b, [c for c, up in marks if up], F.lit(0.0))
-        minus = reduce(lambda a, b: a + b, [c for c, up in marks if not up], F.lit(0.0))
-        rows.append(F.struct(F.lit(h).alias("hypothesis"), F.lit(label).alias("label"), F.lit(bad).alias("malicious"), (F.lit(prior) + plus - minus).alias("score"), plus.alias("support")))
+    for h in hypotheses:
+        plus = reduce(lambda a, b: a + b, [F.col(s).cast("double") * w for s, w, up, _ in h.indicators if up], F.lit(0.0))
+        minus = reduce(lambda a, b: a + b, [F.col(s).cast("double") * w for s, w, up, _ in h.indicators if not up], F.lit(0.0))
+        notes = F.array(*[F.when(F.col(s), F.lit(note)) for s, _, up, note in h.indicators if not up]).cast("array<string>")
+        against = F.filter(notes, lambda n: n.isNotNull()).alias("against")
+        rows.append(F.struct(F.lit(h.id).alias("hypothesis"), F.lit(h.label).alias("label"), F.lit(h.malicious).alias("malicious"), (F.lit(float(h.prior)) + plus - minus).alias("score"), plus.alias("support"), against))
     flat = found.select("case_id", F.inline(F.array(*rows)))
     w = Window.partitionBy("case_id")
     weighed = flat.withColumn("__e", F.exp(F.col("score") - F.max("score").over(w)))
@@ -121,34 +154,149 @@ def case_number(year: int) -> Column:
     return F.concat(F.lit(f"ARI-{year}-"), F.rpad(F.substring(F.regexp_replace("case_id", "[^0-9]", ""), 1, 4), 4, "0"))
 
 
-def cases(events: DataFrame, d: Detection, facts: dict | None = None, year: int = 2026) -> DataFrame:
+def thesis(hypothesis: Column, label: Column, malicious: Column) -> Column:
+    said = F.create_map(*[F.lit(x) for kv in THESES.items() for x in kv])[hypothesis]
+    return F.coalesce(said, F.when(malicious, label).otherwise(F.concat(F.lit("Most consistent with: "), label)))
+
+
+@dataclass
+class Investigation:
+    """What was found of a rule's alerts: tables with a case_id each, written out."""
+
+    detection: Detection
+    alerts: DataFrame
+    scoped: DataFrame
+    signals: DataFrame
+    scores: DataFrame
+    facts: dict
+
+    @property
+    def primary(self) -> DataFrame:
+        return self.scores.where("rank = 1").select("case_id", F.col("hypothesis").alias("primary"), "label", "malicious", "probability", "against")
+
+
+def investigate(events: DataFrame, d: Detection, facts: dict | None = None, hypotheses: tuple = DEFAULT, first_only: bool = False) -> Investigation:
+    """Evaluates the rule on prepared events once, and scores the hypotheses for each alert, or the earliest only."""
+    alerts = stage(evaluate(events, d).where("triggered"), "alerts")
+    if first_only:
+        alerts = stage(alerts.orderBy("start_us", "case_id").limit(1), "alerts")
+    scoped = scoped_events(events, alerts, ACTOR in d.join_by)
+    shown = stage(with_facts(signals(scoped), facts, hypotheses), "signals")
+    return Investigation(d, alerts, scoped, shown, stage(hypothesis_scores(shown, hypotheses), "scores"), facts or {})
+
+
+def cases(events: DataFrame, d: Detection, facts: dict | None = None, year: int = 2026, hypotheses: tuple = DEFAULT) -> DataFrame:
     """One row an alert: ids, the first hypothesis and the leading alternative of the other kind, risk, confidence."""
-    alerts = evaluate(events, d).where("triggered")
-    shown = with_facts(signals(scoped_events(events, alerts, ACTOR in d.join_by)), facts)
-    scores = hypothesis_scores(shown)
-    first = scores.where("rank = 1").select("case_id", F.col("hypothesis").alias("primary"), "label", "malicious", "probability")
+    return case_rows(investigate(events, d, facts, hypotheses), year)
+
+
+def case_rows(found: Investigation, year: int = 2026) -> DataFrame:
+    d, scores, first = found.detection, found.scores, found.primary
     rest = scores.where("rank > 1").alias("r").join(first.alias("f"), "case_id")
     other = F.col("r.malicious") != F.col("f.malicious")
     # the opposite kind with the most support; the runner-up where no such hypothesis has any
     lead = rest.groupBy("case_id").agg(F.max(F.struct(other.alias("o"), F.when(other, F.col("support")).otherwise(0.0).alias("s"), F.col("r.probability").alias("p"), F.col("r.hypothesis").alias("h")))["h"].alias("alternative"))
-    joined = alerts.join(first, "case_id").join(lead, "case_id", "left")
+    joined = found.alerts.join(first, "case_id").join(lead, "case_id", "left")
     return joined.select(
-        case_number(year).alias("case_number"), "case_id", F.lit(d.id).alias("detection_id"), "primary", "label", "alternative", "probability",
+        case_number(year).alias("case_number"), "case_id", F.lit(d.id).alias("detection_id"), "primary", "label", "alternative", "probability", thesis(F.col("primary"), F.col("label"), F.col("malicious")).alias("thesis"),
         risk(d.severity, F.col("probability"), F.col("malicious")).alias("risk"), confidence(F.col("probability")).alias("confidence"), "start_us", "end_us", "steps",
     )
 
 
+def _sentences(rows: DataFrame, register: str, place: Column, text: Column, ids: Column | None = None) -> DataFrame:
+    return rows.select("case_id", F.lit(register).alias("register"), place.cast("int").alias("place"), text.alias("text"), (F.array().cast("array<string>") if ids is None else ids).alias("event_ids"))
+
+
+def supporting(found: Investigation) -> DataFrame:
+    """What made the rule fire: a sentence for each step with its events, then for signals that single events show."""
+    steps = found.detection.sequence.steps
+    flat = found.alerts.select("case_id", F.explode("steps").alias("s")).select("case_id", "s.step", "s.event_us", "s.event_id")
+    attributes = sorted({STEP_TEXTS[pattern_of(s).event_type][0] for s in steps if not isinstance(s, Count) and pattern_of(s).event_type in STEP_TEXTS})
+    shown = found.scoped.where(F.array_contains("__used", F.col("event_id"))).select("case_id", "event_id", *[field(a).text.alias(f"__{a}") for a in attributes])
+    per_step = flat.join(shown, ["case_id", "event_id"], "left").groupBy("case_id", "step").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("event_us", "event_id"))), lambda x: x["event_id"]).alias("ids"), F.count("*").alias("n"), (F.max("event_us") - F.min("event_us")).alias("span"), *[F.first(f"__{a}").alias(f"__{a}") for a in attributes]
+    )
+    text = F.lit(None).cast("string")
+    for i, s in enumerate(steps):
+        kind = pattern_of(s).event_type
+        if isinstance(s, Count):
+            said = F.concat(F.col("n").cast("string"), F.lit(f" {kind} events within "), duration_column(F.col("span")))
+        elif kind in STEP_TEXTS:
+            attribute, begin, lacking = STEP_TEXTS[kind]
+            said = F.concat(F.lit(begin), F.coalesce(f"__{attribute}", F.lit(lacking)))
+        else:
+            said = F.lit(pattern_of(s).describe())
+        text = F.when(F.col("step") == i, said).otherwise(text)
+    parts = [_sentences(per_step, "supporting", F.col("step"), text, F.col("ids"))]
+    kind, seen = F.col("event_type"), field("access_is_first_seen")
+    which = {
+        "first_seen_access": (kind == "github.repository.clone") & F.coalesce(seen.number != 0, F.length(seen.string) > 0, F.lit(False)),
+        "new_token_created": kind.isin(*TOKEN_TYPES),
+        "shell_history_deleted": kind.isin("filesystem.delete", "shell.history.clear") & F.coalesce(field("path").text, kind).contains("history"),
+    }
+    for n, (signal, said) in enumerate(SIGNAL_TEXTS):
+        mine = found.scoped.where(which[signal]).join(found.signals.where(F.col(signal)).select("case_id"), "case_id", "left_semi")
+        ids = mine.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_us", "event_id"))), lambda x: x["event_id"]).alias("ids"))
+        parts.append(_sentences(ids, "supporting", F.lit(1000 + n), F.lit(said), F.col("ids")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def contradictory(found: Investigation) -> DataFrame:
+    """What speaks against the first hypothesis: its own notes, the enrolled device, facts; equal texts once, the first."""
+    given = F.array(*[F.lit(x) for x in found.facts.get("contradictory", [])]).cast("array<string>")
+    notes = F.transform("against", lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 1000))))
+    every = F.concat(notes, F.when(F.col("device_enrolled"), F.array(F.lit(ENROLLED))).otherwise(F.array().cast("array<string>")), given)
+    rows = found.primary.join(found.signals.select("case_id", "device_enrolled"), "case_id").select("case_id", F.posexplode(every).alias("place", "text"))
+    first = rows.groupBy("case_id", F.lower(F.trim("text")).alias("same")).agg(F.min(F.struct("place", "text")).alias("t"))
+    return _sentences(first, "contradictory", F.col("t.place"), F.col("t.text"))
+
+
+def missing(found: Investigation) -> DataFrame:
+    """What would settle the question: authorising events that weren't found, and facts."""
+    says = [(x.describe(), f"No {x.pattern.event_type.replace('.', ' ').replace('_', ' ')} (would authorise this activity)") for x in found.detection.exceptions]
+    looked = F.array(*[F.when(~F.array_contains("suppressed_by", F.lit(d)), F.lit(t)) for d, t in says]).cast("array<string>")
+    given = F.array(*[F.lit(x) for x in found.facts.get("missing_evidence", [])]).cast("array<string>")
+    rows = found.alerts.select("case_id", F.posexplode(F.concat(F.filter(looked, lambda x: x.isNotNull()), given)).alias("place", "text"))
+    return _sentences(rows, "missing", F.col("place"), F.col("text"))
+
+
+def neutral(found: Investigation, text: str) -> DataFrame:
+    """A fact that leans neither way, for every case."""
+    return _sentences(found.alerts, "neutral", F.lit(0), F.lit(text))
+
+
+def evidence(found: Investigation) -> DataFrame:
+    """case_id, register (supporting, contradictory, missing), place, text, event_ids."""
+    return supporting(found).unionByName(contradictory(found)).unionByName(missing(found))
+
+
 def decisive_evidence(alerts: DataFrame) -> DataFrame:
     """case_id, event_id, event_us: the smallest set that fires, which is the contributing events."""
     return alerts.select("case_id", F.explode("steps").alias("s")).select("case_id", "s.event_us", "s.event_id")
 
 
 def explanation(alerts: DataFrame, d: Detection) -> DataFrame:
-    """case_id, step, events, span_us, text of every step that fired."""
-    names = [f"{pattern_of(s).describe()}" + (f" at least {s.at_least} times within {duration_text(micros(s.within))}" if isinstance(s, Count) else "") for s in d.sequence.steps]
+    """case_id, step, events, span_us, text of every step that fired, its conditions below it, and of every exception
+    (their steps follow on)."""
     flat = alerts.select("case_id", F.explode("steps").alias("s"))
-    spans = flat.groupBy("case_id", F.col("s.step").alias("step")).agg(F.count("*").alias("events"), (F.max("s.event_us") - F.min("s.event_us")).alias("span_us"))
-    return spans.withColumn("text", F.get(F.array(*[F.lit(n) for n in names]), F.col("step")))
+    spans = flat.groupBy("case_id", F.col("s.step").alias("step")).agg(F.count("*").alias("events"), (F.max("s.event_us") - F.min("s.event_us")).alias("span_us"), F.transform(F.array_sort(F.collect_list(F.struct("s.event_us", "s.event_id"))), lambda x: x["event_id"]).alias("ids"))
+    listed = F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]"))
+    text = F.lit(None).cast("string")
+    for i, s in enumerate(d.sequence.steps):
+        kind = pattern_of(s)
+        if isinstance(s, Count):
+            head = F.lit(f"Step {i + 1} — at least {s.at_least} {kind.event_type} within {duration_text(micros(s.within))}: satisfied by ")
+            said = F.concat(head, F.col("events").cast("string"), F.lit(" events spanning "), duration_column(F.col("span_us")), F.lit(" "), listed, *[F.lit(f"\n    · {p.describe()}") for p in kind.predicates])
+        else:
+            said = F.concat(F.lit(f"Step {i + 1} — {kind.describe()}: matched by "), listed)
+        text = F.when(F.col("step") == i, said).otherwise(text)
+    out = spans.select("case_id", "step", "events", "span_us", text.alias("text"))
+    for i, x in enumerate(d.exceptions):
+        found = F.array_contains("suppressed_by", F.lit(x.describe()))
+        verdict = F.when(found, "an authorising event was found, so the detection was SUPPRESSED").otherwise("no authorising event within window, so the negative condition holds")
+        said = F.concat(F.lit(f"Exception — no {x.describe()}: "), verdict)
+        out = out.unionByName(alerts.select("case_id", F.lit(len(d.sequence.steps) + i).alias("step"), F.lit(0).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("span_us"), said.alias("text")))
+    return out
 
 
 def summary() -> Column:
@@ -167,14 +315,23 @@ def summary() -> Column:
 
 
 def telemetry_gaps(scoped: DataFrame) -> DataFrame:
-    """case_id, event_id, event_us, summary of stops after which another source stayed live."""
+    """case_id, event_id, event_us, summary of stops after which another source stayed live.
+
+    One pass over a case from its end: every row knows the next live event, and the next after it that reports for
+    another source, so a stop has its survivor without meeting the case's other events.
+    """
     stop = (F.col("event_type") == "security.telemetry_state") & predicate("state", "in", STOPPED)
+    live = F.coalesce(F.col("provenance.source").isin(*LIVE_SOURCES), F.lit(False))
     named = F.coalesce(field("telemetry_source").text, F.lit("endpoint"))
-    stops = scoped.where(stop).select("case_id", "event_id", "event_us", named.alias("stopped")).alias("s")
-    live = scoped.where(F.col("provenance.source").isin(*LIVE_SOURCES)).select("case_id", F.col("event_us").alias("l_us"), F.col("event_id").alias("l_id"), F.col("provenance.source").alias("l_source"), field("telemetry_source").text.alias("l_telemetry")).alias("l")
-    after = (F.col("s.case_id") == F.col("l.case_id")) & (F.col("l_us") > F.col("event_us")) & ~F.col("l_telemetry").eqNullSafe(F.col("stopped"))
-    first = stops.join(live, after).groupBy("s.case_id", "event_id", "event_us", "stopped").agg(F.min(F.struct("l_us", "l_id", "l_source"))["l_source"].alias("survivor"))
-    return first.select("case_id", "event_id", "event_us", F.concat("stopped", F.lit(" telemetry stopped while "), "survivor", F.lit(" stayed live — selective blinding")).alias("summary"))
+    rows = scoped.where(stop | live).select("case_id", "event_us", "event_id", stop.alias("stop"), named.alias("stopped"), F.when(live, F.struct(F.col("provenance.source").alias("source"), field("telemetry_source").text.alias("reports"))).alias("live"))
+    back = Window.partitionBy("case_id").orderBy(F.desc("event_us"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("next", F.last("live", ignorenulls=True).over(back))
+    turns = F.col("live").isNotNull() & ~F.col("live.reports").eqNullSafe(F.col("next.reports"))
+    seen = seen.withColumn("turn", F.when(turns | (F.col("live").isNotNull() & F.col("next").isNull()), F.struct(F.col("next").alias("then"))))
+    seen = seen.withColumn("other", F.last("turn", ignorenulls=True).over(back)["then"])
+    survivor = F.when(~F.col("next.reports").eqNullSafe(F.col("stopped")), F.col("next.source")).otherwise(F.col("other.source"))
+    found = seen.where("stop AND next IS NOT NULL").withColumn("survivor", survivor).where("survivor IS NOT NULL")
+    return found.select("case_id", "event_id", "event_us", F.concat("stopped", F.lit(" telemetry stopped while "), "survivor", F.lit(" stayed live — selective blinding")).alias("summary"))
 
 
 def timeline(scoped: DataFrame) -> DataFrame:
@@ -184,6 +341,14 @@ def timeline(scoped: DataFrame) -> DataFrame:
     return rows.unionByName(blind).orderBy("case_id", "event_us", "is_gap", "event_id")
 
 
+def render_timeline(rows: list) -> str:
+    """Collected timeline rows as text, a line each."""
+    from datetime import UTC, datetime, timedelta
+
+    at = lambda us: (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)).isoformat()
+    return "\n".join(f"{at(r['event_us'])}{'  ⚠ ' if r['is_gap'] else '    '}{r['summary']}  [{r['event_id']}]" for r in rows)
+
+
 def render_case(row) -> str:
     """A case row as text."""
     return "\n".join([f"{row['case_number']}  {row['detection_id']}  risk {row['risk']}  confidence {row['confidence']}", f"  {row['primary']} {row['label']} ({row['probability']:.1%}); alternative {row['alternative']}", f"  {len(row['steps'])} decisive events"])

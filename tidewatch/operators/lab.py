@@ -71,6 +71,23 @@ def dominant_source(events: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.max(F.struct("n", "source"))["source"], F.lit("unknown")).alias("source"))
 
 
+def count_step_fields(d: Detection) -> list[str]:
+    """Fields that a count step's predicates read: what a rule stops firing without."""
+    return [p.field for s in d.sequence.steps if isinstance(s, Count) for p in s.pattern.predicates]
+
+
+#: Mutations that apply to any stream, by name; more can be registered.
+MUTATIONS = {"shuffle": shuffled, "duplicate": duplicated, "lateness": delayed, "reconnect": reconnected, "skew": skewed, "drop_type": without_type, "drop_field": without_field}
+
+
+def mutate(events: DataFrame, *changes) -> DataFrame:
+    """Mutations one after the other, each a name of MUTATIONS, or a name with a dict of arguments."""
+    for change in changes:
+        name, options = change if isinstance(change, tuple) else (change, {})
+        events = MUTATIONS[name](events, **options)
+    return events
+
+
 PROBES = ("duplicates", "late events", "reordering", "reconnect", "clock skew", "missing type", "missing field")
 
 
@@ -105,6 +122,11 @@ class RuleDiff:
     removed: list[str] = field(default_factory=list)
     cause: str = ""
 
+    @property
+    def recommendation(self) -> str:
+        """What to do about a regression; empty without one."""
+        return f"Keep the older version, or make sure of what {', '.join(self.added) or 'the new version'} needs before it goes live." if self.regression else ""
+
     @property
     def regression(self) -> bool:
         return self.fired[0] and not self.fired[1]
@@ -115,7 +137,7 @@ class RuleDiff:
 
     def render(self) -> str:
         said = "regression" if self.regression else "improvement" if self.improvement else "no change in firing"
-        return "\n".join([f"{self.detection_id}: {said}", f"  fired {self.fired[0]} -> {self.fired[1]}, events {self.support[0]} -> {self.support[1]}", *[f"  + {x}" for x in self.added], *[f"  - {x}" for x in self.removed], *([f"  cause: {self.cause}"] if self.cause else [])])
+        return "\n".join([f"{self.detection_id}: {said}", f"  fired {self.fired[0]} -> {self.fired[1]}, events {self.support[0]} -> {self.support[1]}", *[f"  + {x}" for x in self.added], *[f"  - {x}" for x in self.removed], *([f"  cause: {self.cause}"] if self.cause else []), *([f"  {self.recommendation}"] if self.recommendation else [])])
 
 
 def signature(d: Detection) -> dict[str, object]:

@@ -13,7 +13,7 @@ from tidewatch.operators.prepare import first_seen, prepare
 from tidewatch.operators.sequence import evaluate, evaluate_pack, join_groups, keys_of, match, match_any_start, relevant
 from tidewatch.plans.export import spark_sql
 from tidewatch.plans.rules import Absence, Count, Detection, Event, Sequence
-from tidewatch.sources.events import struct_of, table_events, variants
+from tidewatch.sources.events import from_cloudtrail, from_github_audit, from_osquery, from_zeek_conn, iso_text, micros_of, normalise_json, rejects, struct_of, table_events, variants
 from tidewatch.streaming.admission import admission, first_arrivals, lateness_seconds
 
 QUERIES: dict = {}
@@ -269,23 +269,101 @@ for _name, _change in {"shuffle": lab.shuffled, "duplicate": lab.duplicated, "la
     ORACLE_SQL[f"mut_{_name}"] = PLAIN_MATCHES
 QUERIES["mut_skew"] = _mutated(lambda e: lab.skewed(e, "monitor", "6h"))
 ORACLE_SQL["mut_skew"] = f"WITH {EV}, sk AS (SELECT *, t + CASE WHEN source = 'monitor' THEN {micros('6h')} ELSE 0 END AS u FROM ev), {chain_sql(CHAIN_STEPS, 'user_id', D5, 'sk', 'u')} SELECT user_id AS k0, start_us, end_us FROM fired"
-QUERIES["mut_drop_type"] = lambda spark, sf_dir: lab.without_type(table_events(spark, sf_dir), "view").groupBy("event_type").agg(F.count("*").alias("n"))
-ORACLE_SQL["mut_drop_type"] = "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'view' GROUP BY event_type"
+QUERIES["mut_drop_type"] = lambda spark, sf_dir: evaluate(prepare(lab.without_type(table_events(spark, sf_dir), "view")), GUARDED).select("k0", "start_us", "end_us", "triggered")
+ORACLE_SQL["mut_drop_type"] = f"WITH {CHAIN_SQL} SELECT user_id AS k0, start_us, end_us, true AS triggered FROM fired"
 QUERIES["mut_drop_field"] = lambda spark, sf_dir: lab.without_field(table_events(spark, sf_dir), "value").where(predicate("value", "ne", 5) & predicate("hi_k", "exists", True)).select("event_id")
 ORACLE_SQL["mut_drop_field"] = f"WITH {EV} SELECT event_id FROM ev WHERE hi_k IS NOT NULL"
 
 
-@query()
+DURABILITY_SQL = f"""WITH {CHAIN_SQL}, v AS (SELECT user_id, t FROM ev WHERE event_type = 'view' AND value >= 120),
+  m AS (SELECT {case_sql(GUARDED, ['f.user_id'])} AS case_id, EXISTS (SELECT 1 FROM v WHERE v.user_id = f.user_id AND v.t BETWEEN f.start_us - {micros('24h')} AND f.end_us) AS hit,
+    EXISTS (SELECT 1 FROM v WHERE v.user_id = f.user_id AND v.t + {micros('5m')} BETWEEN f.start_us - {micros('24h')} AND f.end_us) AS late FROM fired f),
+  b AS (SELECT count(*) FILTER (NOT hit) AS n, string_agg(case_id, ',' ORDER BY case_id) FILTER (NOT hit) AS base, count(*) FILTER (NOT late) AS ns, string_agg(case_id, ',' ORDER BY case_id) FILTER (NOT late) AS skew, count(*) AS ne, string_agg(case_id, ',' ORDER BY case_id) AS every FROM m)
+  SELECT probe, CAST(cases AS INTEGER) AS cases, holds FROM (SELECT unnest(['reordering', 'duplicates', 'late events', 'reconnect']) AS probe, n AS cases, true AS holds, n FROM b
+    UNION ALL SELECT 'clock skew', ns, coalesce(skew = base, false), n FROM b UNION ALL SELECT unnest(['missing type', 'missing field']), ne, coalesce(every = base, false), n FROM b) WHERE n > 0"""
+
+
+@query(DURABILITY_SQL)
 def durability(spark, sf_dir):
     return lab.durability(prepare(table_events(spark, sf_dir)), GUARDED, "view", "value", "web")
 
 
-@query()
+TIGHT_STEPS = [("event_type = 'error' AND coalesce(hi_k >= 50, false)", 4, H48), *CHAIN_STEPS[1:]]
+
+
+@query(f"""SELECT 'TW-0001' AS detection_id, o.n > 0 AS old_fired, w.n > 0 AS new_fired, CASE WHEN o.n > 0 THEN 5 ELSE 0 END AS old_support, CASE WHEN w.n > 0 THEN 6 ELSE 0 END AS new_support, 'error: hi_k ≥ 50' AS added, '' AS removed,
+  CASE WHEN o.n > 0 AND w.n = 0 THEN format('hi_k is present in {{:.1f}}% of error events', 100 * c.share) ELSE '' END AS cause
+  FROM (WITH {CHAIN_SQL} SELECT count(*) AS n FROM fired) o, (WITH {EV}, {chain_sql(TIGHT_STEPS, 'user_id', D5)} SELECT count(*) AS n FROM fired) w, (WITH {EV} SELECT CAST(count(hi_k) AS DOUBLE) / count(*) AS share FROM ev WHERE event_type = 'error') c""")
 def rule_diff(spark, sf_dir):
     d = lab.rule_diff(table_events(spark, sf_dir), FLAGSHIP, TIGHT)
     return spark.createDataFrame([(d.detection_id, *d.fired, *d.support, "; ".join(d.added), "; ".join(d.removed), d.cause)], "detection_id string, old_fired boolean, new_fired boolean, old_support int, new_support int, added string, removed string, cause string")
 
 
+TWO_EXCEPTIONS = Detection("TW-0013", "Two ways out", CHAIN, exceptions=[Absence(Event("view").where(value__gte=140), "6h"), Absence(Event("click").where(hi_k__gte=95), "30m")])
+TWO_TEXTS = [x.describe().replace("'", "''") for x in TWO_EXCEPTIONS.exceptions]
+
+
+@query(f"""WITH {CHAIN_SQL}, h AS (SELECT f.user_id, start_us, EXISTS (SELECT 1 FROM ev x WHERE x.event_type = 'view' AND x.value >= 140 AND x.user_id = f.user_id AND x.t BETWEEN f.start_us - {micros('6h')} AND f.end_us) AS a,
+  EXISTS (SELECT 1 FROM ev x WHERE x.event_type = 'click' AND x.hi_k >= 95 AND x.user_id = f.user_id AND x.t BETWEEN f.start_us - {micros('30m')} AND f.end_us) AS b FROM fired f)
+  SELECT user_id AS k0, start_us, concat_ws('; ', CASE WHEN a THEN '{TWO_TEXTS[0]}' END, CASE WHEN b THEN '{TWO_TEXTS[1]}' END) AS reasons FROM h""")
+def two_exceptions(spark, sf_dir):
+    return evaluate(table_events(spark, sf_dir), TWO_EXCEPTIONS).select("k0", "start_us", F.array_join("suppressed_by", "; ").alias("reasons"))
+
+
+def _raw_events(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_id").alias("n"), "event_type", F.col("user_id").cast("string").alias("user"), (micros_of(F.col("ts")) / 1_000_000).cast("bigint").alias("s"), "value")
+
+
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'osq-' || CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) ELSE 'o' || CAST(event_id AS VARCHAR) END AS event_id, 'process.execution' AS event_type, epoch_us(ts) // 1000000 * 1000000 AS event_us, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_id % 2 = 0 THEN 'tar' ELSE event_type END AS process FROM events")
+def source_osquery(spark, sf_dir):
+    n = F.col("n").cast("string")
+    none = F.lit(None).cast("string")
+    columns = F.struct(F.when(F.col("n") % 2 == 1, F.col("event_type")).alias("name"), F.lit("/usr/bin/tar").alias("path"), F.col("user").alias("username"), none.alias("uid"), n.alias("pid"), none.alias("parent"), none.alias("cmdline"), none.alias("cwd"))
+    raw = _raw_events(spark, sf_dir).select(F.when(F.col("n") % 3 != 0, F.concat(F.lit("o"), n)).alias("eventid"), F.lit("p").alias("name"), F.col("s").cast("string").alias("unixTime"), F.lit("h").alias("hostIdentifier"), columns.alias("columns"))
+    return from_osquery(raw).select("event_id", "event_type", "event_us", "actor.user_id", F.try_variant_get(F.col("attributes")["process_name"], "$", "string").alias("process"))
+
+
+@query("SELECT 'z' || CAST(event_id AS VARCHAR) AS event_id, epoch_us(ts) // 1000000 * 1000000 + 500000 AS event_us, 'd' || CAST(event_id % 7 AS VARCHAR) AS device_id, CAST(event_id % 1000 AS BIGINT) AS bytes_out FROM events")
+def source_zeek(spark, sf_dir):
+    raw = _raw_events(spark, sf_dir).select((F.col("s") + 0.5).alias("ts"), F.concat(F.lit("z"), F.col("n").cast("string")).alias("uid"), F.concat(F.lit("d"), (F.col("n") % 7).cast("string")).alias("id.orig_h"), F.lit("x").alias("id.resp_h"), F.lit(443).alias("id.resp_p"), (F.col("n") % 1000).alias("orig_bytes"), F.lit(1).alias("resp_bytes"), F.lit("tcp").alias("proto"))
+    return from_zeek_conn(raw).select("event_id", "event_us", F.col("device.id").alias("device_id"), F.try_variant_get(F.col("attributes")["bytes_out"], "$", "bigint").alias("bytes_out"))
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'g' || CAST(event_id AS VARCHAR) ELSE 'gh-' || CAST(epoch_us(ts) // 1000000 * 1000 AS VARCHAR) || '-' || CAST(user_id AS VARCHAR) END AS event_id, CASE event_type WHEN 'click' THEN 'github.repository.clone' WHEN 'signup' THEN 'github.token.create' ELSE 'github.' || event_type END AS event_type, CASE WHEN event_type = 'click' THEN 'normal' END AS sensitivity FROM events")
+def source_github(spark, sf_dir):
+    none, kind = F.lit(None).cast("string"), F.col("event_type")
+    action = F.when(kind == "click", "git.clone").when(kind == "signup", "personal_access_token.create").otherwise(kind)
+    raw = _raw_events(spark, sf_dir).select(action.alias("action"), (F.col("s") * 1000).alias("@timestamp"), F.col("user").alias("actor"), none.alias("actor_email"), F.lit("r").alias("repo"), none.alias("repository_visibility"), none.alias("token_name"), none.alias("scopes"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("g"), F.col("n").cast("string"))).alias("_document_id"))
+    return from_github_audit(raw).select("event_id", "event_type", F.try_variant_get(F.col("attributes")["repository_sensitivity"], "$", "string").alias("sensitivity"))
+
+
+@query("SELECT 'c' || CAST(event_id AS VARCHAR) AS event_id, CASE event_type WHEN 'view' THEN 'aws.s3.get_object' WHEN 'signup' THEN 'iam.user.create' ELSE 'aws.' || event_type END AS event_type, epoch_us(ts) // 1000000 * 1000000 AS event_us, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'view' THEN 'b' END AS bucket FROM events")
+def source_cloudtrail(spark, sf_dir):
+    none, kind = F.lit(None).cast("string"), F.col("event_type")
+    name = F.when(kind == "view", "GetObject").when(kind == "signup", "CreateUser").otherwise(F.initcap(kind))
+    time = iso_text(F.col("s") * 1_000_000)
+    raw = _raw_events(spark, sf_dir).select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("eventID"), name.alias("eventName"), time.alias("eventTime"), none.alias("awsRegion"), F.struct(none.alias("userName"), F.col("user").alias("principalId"), none.alias("arn")).alias("userIdentity"), F.struct(F.lit("b").alias("bucketName"), none.alias("key"), none.alias("userName")).alias("requestParameters"))
+    return from_cloudtrail(raw).select("event_id", "event_type", "event_us", "actor.user_id", F.try_variant_get(F.col("attributes")["bucket"], "$", "string").alias("bucket"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """The events as JSON lines, some of them damaged."""
+    n = F.col("n").cast("string")
+    good = F.to_json(F.struct(n.alias("event_id"), F.col("event_type"), iso_text(F.col("s") * 1_000_000).alias("event_time"), F.struct(F.col("user").alias("user_id")).alias("actor"), F.col("value")))
+    return _raw_events(spark, sf_dir).select(F.when(F.col("n") % 10 == 3, F.concat(F.lit("{broken "), n)).when(F.col("n") % 10 == 4, F.concat(F.lit('{"event_id": "'), n, F.lit('"}'))).when(F.col("n") % 10 == 5, F.lit("  ")).otherwise(good).alias("value"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, epoch_us(ts) // 1000000 * 1000000 AS event_us, CAST(user_id AS VARCHAR) AS user_id, value FROM events WHERE event_id % 10 NOT IN (3, 4, 5)")
+def source_json(spark, sf_dir):
+    return normalise_json(_lines(spark, sf_dir)).select("event_id", "event_type", "event_us", "actor.user_id", F.try_variant_get(F.col("attributes")["value"], "$", "double").alias("value"))
+
+
+@query("SELECT CASE WHEN event_id % 10 = 3 THEN '{broken ' || CAST(event_id AS VARCHAR) ELSE '{\"event_id\": \"' || CAST(event_id AS VARCHAR) || '\"}' END AS value FROM events WHERE event_id % 10 IN (3, 4)")
+def source_rejects(spark, sf_dir):
+    return rejects(_lines(spark, sf_dir))
+
+
 def telemetry(spark, sf_dir) -> DataFrame:
     """The events table in the words of security telemetry, so that signals and timelines have something to find."""
     e = table_events(spark, sf_dir)
@@ -360,12 +438,44 @@ def minimal_evidence(spark, sf_dir):
 
 @query(f"WITH {SCOPE_SQL} SELECT case_id, CAST(step AS INTEGER) AS step, CAST(count(*) AS BIGINT) AS events, max(t) - min(t) AS span_us FROM us GROUP BY ALL")
 def explain_steps(spark, sf_dir):
-    return investigate.explanation(_alerts(spark, sf_dir)[1], EXFIL).select("case_id", "step", "events", "span_us")
+    return investigate.explanation(_alerts(spark, sf_dir)[1], EXFIL).where("events > 0").select("case_id", "step", "events", "span_us")
+
+
+def _against_sql() -> str:
+    """A row for each note that speaks against the first hypothesis."""
+    shown = {"removable_media_write", "device_enrolled", "endpoint_telemetry_stopped"}
+    notes = [(h, s, n) for (h, s), n in investigate.NOTES.items() if s in shown]
+    return " UNION ALL ".join(f"SELECT f.case_id, '{n[0].upper() + n[1:].lower()}' AS text FROM f JOIN sg USING (case_id) WHERE hypothesis = '{h}' AND sg.{s}" for h, s, n in notes)
+
+
+@query(f"""WITH {SCORE_SQL}, f AS (SELECT * FROM rk WHERE rank = 1), co AS ({_against_sql()} UNION ALL SELECT case_id, '{investigate.ENROLLED}' FROM sg WHERE device_enrolled)
+  SELECT case_id, 'supporting' AS register, CASE WHEN step = 0 THEN '3 security.telemetry_state events' WHEN step = 1 THEN 'github.token.create' ELSE 'Data staged to ' || max(CASE WHEN k % 10 = 3 THEN 'usb' ELSE 'disk' END) END AS text, string_agg(event_id, ',' ORDER BY t, event_id) AS ids FROM sc WHERE step IS NOT NULL GROUP BY case_id, step
+  UNION ALL SELECT case_id, 'supporting', 'First-ever access to restricted repositories', string_agg(event_id, ',' ORDER BY t, event_id) FROM sc WHERE event_type = 'click' AND k >= 97 GROUP BY case_id
+  UNION ALL SELECT case_id, 'supporting', 'New access token created shortly before activity', string_agg(event_id, ',' ORDER BY t, event_id) FROM sc WHERE event_type = 'signup' GROUP BY case_id
+  UNION ALL SELECT DISTINCT case_id, 'contradictory', text, '' FROM co""")
+def evidence_rows(spark, sf_dir):
+    found = investigate.investigate(telemetry(spark, sf_dir), EXFIL, FACTS)
+    return investigate.evidence(found).select("case_id", "register", F.regexp_replace("text", " within .*$", "").alias("text"), F.array_join("event_ids", ",").alias("ids"))
+
+
+@query(f"WITH {SCORE_SQL} SELECT case_id, CASE hypothesis WHEN 'H2' THEN '{investigate.THESES['H2']}' WHEN 'H5' THEN '{investigate.THESES['H5']}' WHEN 'H1' THEN 'Malicious insider collection' WHEN 'H3' THEN 'Most consistent with: Authorized migration' WHEN 'H4' THEN 'Most consistent with: Security-team testing' ELSE 'Most consistent with: Broken automation' END AS thesis FROM rk WHERE rank = 1")
+def case_theses(spark, sf_dir):
+    return investigate.cases(telemetry(spark, sf_dir), EXFIL, FACTS).select("case_id", "thesis")
+
+
+#: The incidents that come with the library, and what a replay of the pack has to find in them.
+@query("SELECT * FROM (VALUES ('compromised-developer', 512, 1, 1, 'H2'), ('departing-engineer', 625, 1, 1, 'H1'), ('privileged-admin', 517, 1, 1, 'H5')) AS t(scenario, events, triggered, cases, \"primary\")")
+def scenario_replay(spark, sf_dir):
+    from tidewatch.plans import pack, scenario
+
+    reports = [scenario.replay(s, pack.DETECTIONS, with_durability=False) for s in scenario.builtin(spark).values()]
+    rows = [(r.scenario_id, r.events_processed, r.detections_triggered, len(r.cases), r.cases[0].row["primary"] if r.cases else None) for r in reports]
+    return spark.createDataFrame(rows, "scenario string, events int, triggered int, cases int, primary string")
 
 
 GAP_SQL = f"""{SCOPE_SQL}, st AS (SELECT case_id, event_id, t, CASE WHEN k % 2 = 0 THEN 'endpoint' ELSE 'audit' END AS stopped FROM sc WHERE event_type = 'error' AND k < 50),
   li AS (SELECT case_id, event_id, t, src, CASE WHEN event_type = 'error' THEN CASE WHEN k % 2 = 0 THEN 'endpoint' ELSE 'audit' END END AS named FROM sc WHERE src IN ('zeek', 'github_audit', 'okta')),
-  gp AS (SELECT st.case_id, st.event_id, st.t AS event_us, stopped || ' telemetry stopped while ' || arg_min(li.src, li.t) || ' stayed live — selective blinding' AS summary FROM st JOIN li ON li.case_id = st.case_id AND li.t > st.t AND li.named IS DISTINCT FROM st.stopped GROUP BY st.case_id, st.event_id, st.t, stopped)"""
+  gp AS (SELECT st.case_id, st.event_id, st.t AS event_us, stopped || ' telemetry stopped while ' || arg_min(li.src, (li.t, li.event_id)) || ' stayed live — selective blinding' AS summary FROM st JOIN li ON li.case_id = st.case_id AND (li.t > st.t OR li.t = st.t AND li.event_id > st.event_id) AND li.named IS DISTINCT FROM st.stopped GROUP BY st.case_id, st.event_id, st.t, stopped)"""
 
 
 @query(f"WITH {GAP_SQL} SELECT case_id, event_id, event_us, summary FROM gp")

@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch.functions.durations import micros
 from tidewatch.operators.prepare import prepare
@@ -46,26 +47,36 @@ def first_arrivals(admitted: DataFrame) -> DataFrame:
 class StreamingEvaluator:
     """foreachBatch target: admits events exactly, keeps them in a table, and evaluates a rule over what was admitted.
 
-    The greatest event time is carried from batch to batch. A batch that is replayed is written to the same place, so it
-    counts once. result() is the batch evaluation of the admitted events; later events can complete, move, suppress or
-    undo a match, so results are replaced, not appended.
+    The greatest event time is carried from batch to batch; it stands beside the batch it belongs to, so an evaluator on
+    the same folder, after a restart for instance, goes on where the last one ended. A batch that is replayed is written
+    to the same place, so it counts once. result() is the batch evaluation of the admitted events; later events can
+    complete, move, suppress or undo a match, so results are replaced, not appended.
     """
 
     def __init__(self, spark: SparkSession, detection: Detection, lateness: object = "5m", folder: str | None = None):
         self.spark, self.detection, self.lateness = spark, detection, lateness
         self.folder = folder or new_path(spark, "stream")
-        self.tops: dict[int, int | None] = {}
-        self.schema = None
+
+    def tops(self) -> DataFrame:
+        """batch, top: the greatest admitted event time of every batch that was finished."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/tops")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], "batch bigint, top bigint")
+        return self.spark.read.schema("top bigint, batch bigint").parquet(f"{self.folder}/tops").select("batch", "top")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        before = [t for n, t in self.tops.items() if n < number and t is not None]
-        marked = admission(batch, self.lateness, max(before, default=None))
-        marked.write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
-        self.schema = marked.schema
-        self.tops[number] = self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={number}").where("NOT late").agg(F.max("event_us")).first()[0]
+        before = self.tops().where(F.col("batch") < number).agg(F.max("top")).first()[0]
+        marked = admission(batch, self.lateness, before)
+        marked.write.mode("overwrite").parquet(f"{self.folder}/events/batch={number}")
+        self.spark.createDataFrame([(marked.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/schema")
+        top = self.spark.read.schema(marked.schema).parquet(f"{self.folder}/events/batch={number}").where("NOT late").agg(F.max("event_us").alias("top"))
+        top.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/tops/batch={number}")
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/batch={n}" for n in sorted(self.tops)])
+        """Every event of the finished batches, with its watermark."""
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.folder}/schema").first()[0]))
+        done = sorted(r["batch"] for r in self.tops().select("batch").distinct().collect())
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/events/batch={n}" for n in done])
 
     def dropped_late(self) -> DataFrame:
         return self.table().where("late")
@@ -75,6 +86,3 @@ class StreamingEvaluator:
 
     def start(self, stream: DataFrame, checkpoint: str | None = None):
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint or new_path(self.spark, "offsets")).trigger(availableNow=True).start()
-
-    def state(self) -> str:
-        return json.dumps({str(n): t for n, t in self.tops.items()})
