@@ -51,8 +51,8 @@ def url_key(url: str | None) -> str:
 
 
 def stamp_of(page_id: int | None) -> str:
-    """Pages have no capture time; one second for each id stands in for it."""
-    return (EPOCH + dt.timedelta(seconds=(page_id or 0) % 3_000_000_000)).strftime("%Y%m%d%H%M%S")
+    """Pages have no capture time; one second for each id stands in for it, from the start again after 7,900 years."""
+    return (EPOCH + dt.timedelta(seconds=(page_id or 0) % (7900 * 31_557_600))).strftime("%Y%m%d%H%M%S")
 
 
 def record_of(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -287,11 +287,11 @@ def records_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[n] for r in rows], kinds[x.split()[1]]) for n, x in zip(names, RECORDS.split(", "), strict=True)], names=names)
 
 
-JOBS = "runs array<string>, low struct<urlkey:string,stamp:string,page_id:long>, high struct<urlkey:string,stamp:string,page_id:long>"
+JOBS = "place int, runs array<string>, low struct<urlkey:string,stamp:string,page_id:long>, high struct<urlkey:string,stamp:string,page_id:long>"
 
 
 def read_archives(runs: DataFrame) -> DataFrame:
-    """Every record in global order of (urlkey, stamp, page_id): one partition a range of keys, ranges in order.
+    """Every record in global order of (urlkey, stamp, page_id): partitions hold ranges of keys, in their order.
 
     The driver sees a row a run with SAMPLES keys, never an entry. While there are more than FAN_IN runs, groups of
     FAN_IN are merged to longer ones, a task each; then each range's slices are merged and its records read.
@@ -299,8 +299,8 @@ def read_archives(runs: DataFrame) -> DataFrame:
     spark = runs.sparkSession
     known = runs.collect()
     while len(known) > FAN_IN:
-        groups = [([r["run"] for r in known[i : i + FAN_IN]], None, None) for i in range(0, len(known), FAN_IN)]
-        longer = spark.createDataFrame(groups, JOBS).repartition(len(groups)).mapInArrow(RangeMerger(new_path(spark, "runs")), RUNS)
+        groups = [(i, [r["run"] for r in known[i : i + FAN_IN]], None, None) for i in range(0, len(known), FAN_IN)]
+        longer = spark.createDataFrame(groups, JOBS).repartition(len(groups), "place").mapInArrow(RangeMerger(new_path(spark, "runs")), RUNS)
         known = stage(longer, "runs").collect()
     total = sum(r["entries"] for r in known)
     if not total:
@@ -309,8 +309,10 @@ def read_archives(runs: DataFrame) -> DataFrame:
     n = max(1, min(len(keys), total // RANGE_ROWS + spark.sparkContext.defaultParallelism))
     cuts = [keys[i * len(keys) // n] for i in range(1, n)]
     ends = [None, *[(a, b, None if c == -1 << 63 else c) for a, b, c in cuts], None]
-    jobs = [([r["run"] for r in known], low, high) for low, high in zip(ends, ends[1:], strict=False)]
-    return spark.createDataFrame(jobs, JOBS).coalesce(1).repartition(len(jobs)).mapInArrow(RangeMerger(), RECORDS)
+    every = [r["run"] for r in known]
+    jobs = [(i, every, low, high) for i, (low, high) in enumerate(zip(ends, ends[1:], strict=False))]
+    dealt = spark.createDataFrame(jobs, JOBS).repartitionByRange(len(jobs), "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(RangeMerger(), RECORDS)
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
