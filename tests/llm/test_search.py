@@ -73,3 +73,18 @@ def test_exact_with_large_components(spark):
         exact = {j: sum(a * int(np.floor(256 * float(np.float32(b)))) for a, b in zip(q, v, strict=True)) for j, v in data if j != i}
         exact = {j: min(2**63 - 1, max(1 - 2**63, s)) for j, s in exact.items()}
         assert got[i] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_forest_recall_on_the_tables(spark):
+    """At the width and on the rows of `embeddings`, against brute force over all queries."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = table.transform(nearest).toPandas()
+    vectors = table.where("embedding IS NOT NULL").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x, ids = np.stack(vectors["embedding"].to_numpy()).astype(float), vectors["vec_id"].to_numpy()
+    hit = total = 0
+    for query, found in got.groupby("query_id"):
+        score = x @ x[np.searchsorted(ids, query)]
+        score[np.searchsorted(ids, query)] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:20]])
+        hit, total = hit + len(best & set(found["vec_id"])), total + len(best)
+    assert total == 20 * got["query_id"].nunique() and hit >= 0.9 * total

@@ -2,7 +2,8 @@
 
 The query rows are written to the shared folder once. Each task streams its part of the table in blocks of BLOCK_ROWS
 rows and reads the queries beside it, QUERY_ROWS at a time; memory is a block, a batch of queries and their scores,
-whatever the size of either. Each block returns its best rows for every query, and a rank over those gives the answer.
+whatever the size of either. What the blocks of a task return is merged to the best rows for every query, MERGE_ROWS rows
+at a time, and a rank over those gives the answer.
 No row is copied, no key decides where a row goes, so repeated ids or vectors make no large task.
 """
 
@@ -21,6 +22,7 @@ from tidewatch.storage import stage
 
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 1024
+MERGE_ROWS = 1 << 20
 
 
 def usable(vector: str = "embedding"):
@@ -74,6 +76,24 @@ class BlockSearch:
         self.method, self.queries, self.k, self.score = method, queries, k, score
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, rows = [], 0
+        for found in self.found(batches):
+            best.append(found)
+            rows += len(found[0])
+            if rows > 2 * MERGE_ROWS:
+                best = [best_of(*(np.concatenate(x) for x in zip(*best, strict=True)), self.k)]
+                rows = len(best[0][0])
+                if rows > MERGE_ROWS:
+                    yield self.answer(best)
+                    best, rows = [], 0
+        if best:
+            yield self.answer(best)
+
+    def answer(self, best: list) -> pa.RecordBatch:
+        merged = best_of(*(np.concatenate(x) for x in zip(*best, strict=True)), self.k)
+        return pa.record_batch([pa.array(x) for x in merged], names=["query_id", "vec_id", self.score])
+
+    def found(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, n = [], 0
         for b in batches:
             for at in range(0, b.num_rows, BLOCK_ROWS):
@@ -86,7 +106,7 @@ class BlockSearch:
         if n:
             yield from self.block(held)
 
-    def block(self, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(self, held: list[pa.RecordBatch]) -> Iterator[tuple]:
         rows = pa.Table.from_batches(held).combine_chunks()
         ids = rows["vec_id"].combine_chunks().to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -94,8 +114,7 @@ class BlockSearch:
         where, inner = system(self.queries)
         for q in pads.dataset(inner, filesystem=where, format="parquet").to_batches(batch_size=QUERY_ROWS):
             if q.num_rows:
-                found = best_of(*search(q.column("vec_id").to_numpy(), matrix(q.column("embedding"))), self.k)
-                yield pa.record_batch([pa.array(x) for x in found], names=["query_id", "vec_id", self.score])
+                yield best_of(*search(q.column("vec_id").to_numpy(), matrix(q.column("embedding"))), self.k)
 
 
 def search_blocks(vectors: DataFrame, every: int, k: int, method, kind: str) -> DataFrame:
