@@ -106,6 +106,28 @@ def hashes(line):
     return F.transform(once, lambda wide: F.transform(start(wide), lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * SHINGLE)))))[0]
 
 
+MAP_WORDS = 32  # of 64 bits, in a line's map
+
+
+def maps_of(texts: DataFrame) -> DataFrame:
+    """lid, n (the number of different shingles), bits (a map with a bit for each) and spare, by how many n exceeds them."""
+    shingles = texts.select("lid", F.explode(F.array_distinct(hashes(F.col("line")))).alias("h"))
+    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & {MAP_WORDS - 1} = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(f"b{k}") for k in range(MAP_WORDS)]
+    maps = shingles.groupBy("lid").agg(F.count("*").alias("n"), *words).select("lid", "n", F.array(*[f"b{k}" for k in range(MAP_WORDS)]).alias("bits"))
+    return maps.withColumn("spare", F.expr("n - aggregate(bits, 0L, (s, w) -> s + bit_count(w))"))
+
+
+def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that maps leave possible, all similar ones among them: a bit that only one line has stands for a
+    shingle that only it has, so the bits of both and the lesser spare bound the shared shingles from above."""
+    lids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    maps = stage(maps_of(texts.join(lids, "lid", "left_semi")), "maps")
+    x, y = maps.alias("x"), maps.alias("y")
+    both = "aggregate(zip_with(x.bits, y.bits, (p, q) -> p & q), 0L, (s, w) -> s + bit_count(w))"
+    bound = f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) AND {100 + percent}L * (least(x.spare, y.spare) + {both}) >= {percent}L * (x.n + y.n)"
+    return pairs.alias("p").join(x, F.expr("p.a = x.lid")).join(y, F.expr("p.b = y.lid")).where(bound).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets are similar enough, as (src, dst)."""
     line = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}"))
@@ -179,7 +201,9 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
         done.append(pairs)
         if pairs.isEmpty():
             continue
-        edges.append(stage(verified(pairs, texts, percent), "links"))
+        # few of the last pairs are similar, and a line is in many of them
+        likely = possible(pairs, texts, percent) if step == "rest" else pairs
+        edges.append(stage(verified(likely, texts, percent), "links"))
         if labels is not None:
             unstage(labels)
         labels = stage(connected_components(reduce(DataFrame.union, edges)), "labels")

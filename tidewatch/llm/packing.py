@@ -63,8 +63,9 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str | None = None, max_length: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    Map-only: no shuffle, memory for one batch or one text. A null or empty text is the end id alone; rows repeated in
-    docs are packed as often as they occur, each with its own sequence_ids; an empty table gives no rows; columns but
+    Map-only: no shuffle, memory for one batch or one text. A null or empty text is the end id alone; a text of any
+    length is cut into as many pieces as it takes; rows that repeat each other or share an id are packed as often as they
+    occur, each with its own sequence_ids; an empty table gives no rows; columns but
     doc_id and text are not read. The path in `tokenizer` has to exist on every worker.
     """
     if max_length & (max_length - 1):

@@ -202,8 +202,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     """Writes all documents to shards and returns the manifest (shard, path, docs, tokens), shards in order of doc_id.
 
     Texts are dealt by ranges of doc_id (ties by a hash of the text, so even one repeated id doesn't make one task) and
-    sorted there, nulls first. Null and empty texts are the end id alone; repeated rows are each stored; an empty table
-    gives no shard; other columns are not read. Shards written by a task that was lost are not in the manifest.
+    sorted there, nulls first. Null and empty texts are the end id alone; a text of any length is encoded whole, a few
+    megabytes at a time; repeated rows are each stored, and rows that share an id follow one another in the order of the
+    hash; an empty table gives no shard; other columns are not read. Shards written by a task that was lost are not in the manifest.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "sstable")
