@@ -117,15 +117,11 @@ def maps_of(texts: DataFrame) -> DataFrame:
     return maps.withColumn("spare", F.expr("n - aggregate(bits, 0L, (s, w) -> s + bit_count(w))"))
 
 
-def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that maps leave possible, all similar ones among them: a bit that only one line has stands for a
-    shingle that only it has, so the bits of both and the lesser spare bound the shared shingles from above."""
-    lids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    maps = stage(maps_of(texts.join(lids, "lid", "left_semi")), "maps")
-    x, y = maps.alias("x"), maps.alias("y")
+def possible(percent: int) -> str:
+    """A condition that no similar pair x, y fails: a bit that only one line has stands for a shingle that only it has, so
+    the bits of both and the lesser spare bound the shared shingles from above."""
     both = "aggregate(zip_with(x.bits, y.bits, (p, q) -> p & q), 0L, (s, w) -> s + bit_count(w))"
-    bound = f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) AND {100 + percent}L * (least(x.spare, y.spare) + {both}) >= {percent}L * (x.n + y.n)"
-    return pairs.alias("p").join(x, F.expr("p.a = x.lid")).join(y, F.expr("p.b = y.lid")).where(bound).select("a", "b")
+    return f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) AND {100 + percent}L * (least(x.spare, y.spare) + {both}) >= {percent}L * (x.n + y.n)"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -150,24 +146,27 @@ def agreeing(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(words("a"), "a").join(words("b"), "b").where(agree("aw", "bw")).select("a", "b")
 
 
-def across(members: DataFrame, held: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Agreeing pairs (a, b) of members of one band that are in different components.
+def across(members: DataFrame, held: DataFrame, texts: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one band that are in different components and may be similar by signature and map.
 
     Members outside a band's largest component meet all others in blocks of BLOCK by BLOCK rows, a key of the join each,
-    so no band is one task's; each pair is taken in the first band that it shares.
+    so no band is one task's; each pair is taken in the first band that it shares. The bounds are part of the join's
+    condition: pairs that fail them never become rows. Of a band of two the only pair is a pivot's, and known.
     """
     here = placed(members.select("band", "b", "lid"), labels, "lid", "component")
-    sizes = here.groupBy("band", "component").agg(F.count("*").alias("n"))
-    blocks = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = blocks.select("band", F.col("main.component").alias("main"), F.expr(f"CAST(ceil(m / {BLOCK}) AS INT)").alias("ms"), F.expr(f"CAST(ceil((m - main.n) / {BLOCK}) AS INT)").alias("ls"))
-    rows = here.join(blocks, "band").join(held, "lid").withColumn("bands", bands_of())
+    sizes = here.groupBy("band", "component").agg(F.count("*").alias("k"))
+    blocks = sizes.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1 AND m > 2")
+    blocks = blocks.select("band", F.col("main.component").alias("main"), F.expr(f"CAST(ceil(m / {BLOCK}) AS INT)").alias("ms"), F.expr(f"CAST(ceil((m - main.k) / {BLOCK}) AS INT)").alias("ls"))
+    inside = stage(here.join(blocks, "band"), "inside")
+    maps = stage(maps_of(texts.join(inside.select("lid").distinct(), "lid", "left_semi")), "maps")
+    rows = inside.join(held, "lid").join(maps, "lid").withColumn("bands", bands_of())
     rows = rows.withColumn("s", F.pmod(F.xxhash64("lid"), F.col("ms")).cast("int")).withColumn("t", F.pmod(F.xxhash64("lid", F.lit(1)), F.col("ls")).cast("int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["band", "b", "lid", "component", "bands", *[f"w{k}" for k in range(WORDS)]]
+    kept = ["band", "b", "lid", "component", "bands", "n", "bits", "spare", *[f"w{k}" for k in range(WORDS)]]
     x = rows.where("component <> main").select(*kept, each("ms").alias("s"), "t").alias("x")
     y = rows.select(*kept, "s", each("ls").alias("t")).alias("y")
     first = "NOT arrays_overlap(slice(x.bands, 1, x.b), slice(y.bands, 1, y.b))"
-    met = x.join(y, F.expr(f"x.band = y.band AND x.s = y.s AND x.t = y.t AND x.component <> y.component AND {agree('x.w', 'y.w')} AND {first}"))
+    met = x.join(y, F.expr(f"x.band = y.band AND x.s = y.s AND x.t = y.t AND x.component <> y.component AND {agree('x.w', 'y.w')} AND {possible(percent)} AND {first}"))
     return met.select(F.greatest("x.lid", "y.lid").alias("a"), F.least("x.lid", "y.lid").alias("b")).distinct()
 
 
@@ -189,7 +188,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
     edges, labels, done = [], None, []
     for step in ("least", "low", "rest"):
         if step == "rest":
-            pairs = across(members, held, labels)
+            pairs = across(members, held, texts, labels, percent)
         else:
             pairs = pivots.groupBy("a").agg(F.min("b").alias("b")) if step == "least" else pivots
             if labels is not None:
@@ -201,9 +200,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
         done.append(pairs)
         if pairs.isEmpty():
             continue
-        # few of the last pairs are similar, and a line is in many of them
-        likely = possible(pairs, texts, percent) if step == "rest" else pairs
-        edges.append(stage(verified(likely, texts, percent), "links"))
+        edges.append(stage(verified(pairs, texts, percent), "links"))
         if labels is not None:
             unstage(labels)
         labels = stage(connected_components(reduce(DataFrame.union, edges)), "labels")
