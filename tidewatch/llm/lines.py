@@ -28,6 +28,7 @@ MIN_CHARS = SHINGLE  # shorter lines hold no shingle
 COORDINATES, BANDS = 40, 24
 RULER = (0, 1, 4, 10, 12, 17)  # a band's coordinates from its first on; no difference occurs twice
 PER_BIN = 2
+TOGETHER = 8  # bins whose least ranks are found in one row
 AGREE = 17
 PERCENT = 80
 FILTER_BITS = 1 << 24
@@ -36,40 +37,54 @@ BLOCK = 512
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the text), no, lid, line of every line that takes part."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")  # once a text, not once a line
+    rows = marked.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return rows.where(F.char_length("line") >= MIN_CHARS).withColumn("lid", F.xxhash64("line"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """lid and sig (COORDINATES numbers of 16 bits) of each different line.
 
-    A row for each shingle lives between two compiled steps of one task; what is shuffled is one row a line.
+    A line is shuffled once, and a row for each shingle lives between two compiled steps of one task. The least ranks are
+    taken TOGETHER bins at a time, for each costs time in every row, and then put side by side.
     """
-    wide = line_rows(docs).select("lid", F.encode("line", "UTF-32").alias("wide"))  # where a character has its place
+    once = line_rows(docs).groupBy("lid").agg(F.min("line").alias("line"))
+    wide = once.select("lid", F.encode("line", "UTF-32").alias("wide"))  # where a character has its place
     places = wide.select("lid", "wide", F.explode(F.expr(f"sequence(1, octet_length(wide) - {4 * SHINGLE - 1}, 4)")).alias("at"))
     hashed = places.select("lid", F.expr(f"octet_length(wide) div 4 - {SHINGLE - 1}").alias("n"), F.expr(f"xxhash64(substring(wide, at, {4 * SHINGLE}))").alias("h"))
     ranked = hashed.select("lid", "n", F.expr(f"shiftrightunsigned(shiftrightunsigned(h, 32) * {COORDINATES}, 32)").alias("bin"), F.expr("h & 4294967295").alias("rank"))
     kept = ranked.where(f"rank * n < {PER_BIN * COORDINATES << 32}")
-    least = kept.groupBy("lid").agg(*[F.min(F.expr(f"CASE WHEN bin = {k} THEN rank END")).alias(f"m{k}") for k in range(COORDINATES)])
-    bins = least.select("lid", F.array(*[f"m{k}" for k in range(COORDINATES)]).alias("m"))
-    later = f"get(filter(concat(slice(m, k + 2, {COORDINATES}), slice(m, 1, k)), x -> x IS NOT NULL), 0)"
-    full = f"transform(sequence(0, {COORDINATES - 1}), k -> CAST((coalesce(get(m, k), get(m, (k + 1) % {COORDINATES}), get(m, (k + 2) % {COORDINATES}), {later}) & 65535) - 32768 AS SMALLINT))"
-    return bins.select("lid", F.expr(full).alias("sig"))
+    some = kept.groupBy("lid", F.expr(f"bin div {TOGETHER}").alias("q")).agg(*[F.min(F.expr(f"CASE WHEN bin % {TOGETHER} = {j} THEN rank END")).alias(f"p{j}") for j in range(TOGETHER)])
+    least = some.groupBy("lid").agg(*[F.min(F.expr(f"CASE WHEN q = {k // TOGETHER} THEN p{k % TOGETHER} END")).alias(f"m{k}") for k in range(COORDINATES)])
+    near = lambda k: ", ".join(f"m{(k + j) % COORDINATES}" for j in range(4))
+    later = lambda k: f"get(filter(array({', '.join(f'm{(k + j) % COORDINATES}' for j in range(4, COORDINATES))}), x -> x IS NOT NULL), 0)"
+    full = [F.expr(f"CAST((coalesce({near(k)}, {later(k)}) & 65535) - 32768 AS SMALLINT)") for k in range(COORDINATES)]
+    return least.select("lid", F.array(*full).alias("sig"))
 
 
-def band_hash(band):
-    """A hash of a band's coordinates."""
-    return F.xxhash64(*[F.get("sig", (F.floor(band * COORDINATES / BANDS).cast("int") + r) % COORDINATES) for r in RULER], band)
+def band_hash(band, at, ring):
+    """A hash of a band's coordinates from `at` on, of 48 bits: what a chance meeting adds is compared and goes."""
+    return F.xxhash64(*[F.get(ring, at + r) for r in RULER], band).bitwiseAND(F.lit((1 << 48) - 1))
+
+
+def ring_of():
+    """The coordinates, and the first ones again for the bands that go round."""
+    return F.concat("sig", F.slice("sig", 1, max(RULER)) if max(RULER) else F.array().cast("array<short>"))
+
+
+def starts():
+    """Where each band starts."""
+    return F.array(*[F.lit(b * COORDINATES // BANDS) for b in range(BANDS)])
 
 
 def banded(lines: DataFrame) -> DataFrame:
     """lid, b, band: a row for each band of each line."""
-    return lines.select("lid", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b")).select("lid", "b", band_hash(F.col("b")).alias("band"))
+    return lines.select("lid", ring_of().alias("ring")).select("lid", "ring", F.posexplode(starts()).alias("b", "at")).select("lid", "b", band_hash(F.col("b"), F.col("at"), F.col("ring")).alias("band"))
 
 
 def bands_of():
     """All bands of a line, as an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band_hash)
+    return F.transform(F.array(ring_of()), lambda ring: F.transform(starts(), lambda at, b: band_hash(b, at, ring)))[0]
 
 
 def passing(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -112,8 +127,9 @@ MAP_WORDS = 32  # of 64 bits, in a line's map
 def maps_of(texts: DataFrame) -> DataFrame:
     """lid, n (the number of different shingles), bits (a map with a bit for each) and spare, by how many n exceeds them."""
     shingles = texts.select("lid", F.explode(F.array_distinct(hashes(F.col("line")))).alias("h"))
-    words = [F.bit_or(F.expr(f"CASE WHEN (h >> 6) & {MAP_WORDS - 1} = {k} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END")).alias(f"b{k}") for k in range(MAP_WORDS)]
-    maps = shingles.groupBy("lid").agg(F.count("*").alias("n"), *words).select("lid", "n", F.array(*[f"b{k}" for k in range(MAP_WORDS)]).alias("bits"))
+    some = shingles.groupBy("lid", F.expr(f"(h >> 6) & {MAP_WORDS - 1}").alias("k")).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("w"))
+    words = F.array(*[F.coalesce(F.max(F.expr(f"CASE WHEN k = {k} THEN w END")), F.lit(0).cast("long")) for k in range(MAP_WORDS)])
+    maps = some.groupBy("lid").agg(F.sum("n").alias("n"), words.alias("bits"))
     return maps.withColumn("spare", F.expr("n - aggregate(bits, 0L, (s, w) -> s + bit_count(w))"))
 
 
@@ -127,9 +143,10 @@ def possible(percent: int) -> str:
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets are similar enough, as (src, dst)."""
     line = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}"))
-    sets = pairs.join(line("b"), "b").join(line("a"), "a").select("a", "b", F.array(F.array(hashes(F.col("line_a")), hashes(F.col("line_b")))).alias("once"))
-    sizes = F.transform("once", lambda p: F.struct(F.size(F.array_intersect(p[0], p[1])).cast("long").alias("same"), F.size(F.array_union(p[0], p[1])).cast("long").alias("all")))[0]
-    return sets.select("a", "b", sizes.alias("n")).where(f"100L * n.same >= {percent}L * n.all").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    both = F.array(F.struct(hashes(F.col("line_a")).alias("x"), hashes(F.col("line_b")).alias("y")))
+    sets = pairs.join(line("b"), "b").join(line("a"), "a").select("a", "b", F.inline(both))  # made once: no condition passes a generator
+    similar = f"{100 + percent}L * size(array_intersect(x, y)) >= {percent}L * (size(array_distinct(x)) + size(array_distinct(y)))"
+    return sets.where(similar).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def placed(members: DataFrame, labels: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -177,14 +194,15 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
     of every other band, and at last every agreeing pair of a band that is still in different components.
     """
     bands = banded(lines)
-    shared = stage(bands.groupBy("band").agg(F.min("lid").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low"), "bands")
+    shared = stage(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "bands")
     sweep(docs.sparkSession)
-    members = stage(passing(bands, "band", shared.select("band")).join(shared, "band"), "members")
-    wanted = members.select("lid").distinct()
+    members = stage(passing(bands, "band", shared).join(shared, "band"), "members")
+    lows = members.groupBy("band").agg(F.min("lid").alias("low"))
+    pivots = stage(members.join(lows, "band").where("lid <> low").select(F.col("lid").alias("a"), F.col("low").alias("b")).distinct(), "pivots")
+    wanted = stage(members.select("lid").distinct(), "wanted")
     held = stage(packed(passing(lines, "lid", wanted).join(wanted, "lid")), "held")
     texts = stage(passing(line_rows(docs).select("lid", "line"), "lid", wanted).groupBy("lid").agg(F.min("line").alias("line")), "texts")
     sweep(docs.sparkSession)
-    pivots = members.where("lid <> low").select(F.col("lid").alias("a"), F.col("low").alias("b")).distinct()
     edges, labels, done = [], None, []
     for step in ("least", "low", "rest"):
         if step == "rest":
@@ -204,7 +222,7 @@ def line_components(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -
         if labels is not None:
             unstage(labels)
         labels = stage(connected_components(reduce(DataFrame.union, edges)), "labels")
-    for x in (shared, members, held, texts, *done, *edges):
+    for x in (shared, members, pivots, wanted, held, texts, *done, *edges):
         unstage(x)
     sweep(docs.sparkSession)
     return labels
