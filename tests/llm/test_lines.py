@@ -158,3 +158,9 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, f"{line}\none tail here"), (1, f"{line}\nother end there"), (1, f"{line}\nother end there"), (None, None), (None, None)]
     got = sorted((r["n_lines"], r["dropped"]) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got in ([(0, ""), (0, ""), (2, ""), (2, "0"), (2, "0")], [(0, ""), (0, ""), (2, ""), (2, ""), (2, "0")])
+
+
+def test_band_hashes_are_short(spark):
+    df = spark.createDataFrame([(1, "a line that is long enough to take part"), (2, "another one that is quite different")], "doc_id long, text string")
+    found = lines.banded(signatures(df)).collect()
+    assert len({r["band"] for r in found}) == 2 * lines.BANDS and all(0 <= r["band"] < 1 << 48 for r in found)
