@@ -276,8 +276,7 @@ def decisive_evidence(alerts: DataFrame) -> DataFrame:
 
 
 def explanation(alerts: DataFrame, d: Detection) -> DataFrame:
-    """case_id, step, events, span_us, text of every step that fired, its conditions below it, and of every exception
-    (their steps follow on)."""
+    """case_id, step, events, span_us, text of every step that fired, its conditions below it."""
     flat = alerts.select("case_id", F.explode("steps").alias("s"))
     spans = flat.groupBy("case_id", F.col("s.step").alias("step")).agg(F.count("*").alias("events"), (F.max("s.event_us") - F.min("s.event_us")).alias("span_us"), F.transform(F.array_sort(F.collect_list(F.struct("s.event_us", "s.event_id"))), lambda x: x["event_id"]).alias("ids"))
     listed = F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]"))
@@ -290,12 +289,17 @@ def explanation(alerts: DataFrame, d: Detection) -> DataFrame:
         else:
             said = F.concat(F.lit(f"Step {i + 1} — {kind.describe()}: matched by "), listed)
         text = F.when(F.col("step") == i, said).otherwise(text)
-    out = spans.select("case_id", "step", "events", "span_us", text.alias("text"))
+    return spans.select("case_id", "step", "events", "span_us", text.alias("text"))
+
+
+def exception_lines(alerts: DataFrame, d: Detection) -> DataFrame:
+    """case_id, step, text of every exception; their steps follow on those of the sequence."""
+    out = alerts.select("case_id", F.lit(0).alias("step"), F.lit("").alias("text")).limit(0)
     for i, x in enumerate(d.exceptions):
         found = F.array_contains("suppressed_by", F.lit(x.describe()))
         verdict = F.when(found, "an authorising event was found, so the detection was SUPPRESSED").otherwise("no authorising event within window, so the negative condition holds")
         said = F.concat(F.lit(f"Exception — no {x.describe()}: "), verdict)
-        out = out.unionByName(alerts.select("case_id", F.lit(len(d.sequence.steps) + i).alias("step"), F.lit(0).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("span_us"), said.alias("text")))
+        out = out.unionByName(alerts.select("case_id", F.lit(len(d.sequence.steps) + i).alias("step"), said.alias("text")))
     return out
 
 

@@ -96,7 +96,8 @@ def case_file(events: DataFrame, d: Detection, facts: dict | None = None, hypoth
     if row is None:
         return None
     evidence = [x.asDict() for x in investigate.evidence(found).orderBy("register", "place").collect()]
-    said = [x["text"] for x in investigate.explanation(found.alerts, d).orderBy("step").collect()]
+    told = investigate.explanation(found.alerts, d).select("step", "text").union(investigate.exception_lines(found.alerts, d).select("step", "text"))
+    said = [x["text"] for x in told.orderBy("step").collect()]
     probes = [x.asDict() for x in lab.durability(events, d).orderBy("probe").collect()] if with_durability else []
     return CaseFile(row.asDict(recursive=True), d, evidence, said, probes)
 
