@@ -216,6 +216,12 @@ def test_case(spark):
     assert [r["events"] for r in investigate.explanation(alerts, COLLECT).orderBy("step").collect()] == [8, 1, 1, 1]
 
 
+def test_exceptions_follow_the_steps(spark):
+    alerts = evaluate(prepare(frame(spark, chain())), COLLECT)
+    said = investigate.exception_lines(alerts, COLLECT).orderBy("step").collect()
+    assert [r["step"] for r in said] == [4 + i for i in range(len(COLLECT.exceptions))] and said and all("no authorising event" in r["text"] for r in said)
+
+
 def test_identity(spark):
     a = spark.createDataFrame([("github_user", "jdoe006", "g", 1.0), ("email", "m@acme.com", "g", 1.0), ("unix_uid", "501", "u", 0.94), ("aws_principal", "AROA", "a", 0.9), ("email", "alone@acme.com", "g", 0.5)], "type string, value string, source string, confidence double")
     links = [("github_user", "jdoe006", "email", "m@acme.com", 0.99, 1), ("email", "m@acme.com", "unix_uid", "501", 0.95, 2), ("email", "m@acme.com", "aws_principal", "AROA", 0.92, 3)]
